@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, mixing, simhash, substring_dedup, warc
+from marketlens.llm import decontamination, mixing, simhash, substring_dedup, suffix_dedup, warc
 from marketlens.plans.registry import Registry
 from marketlens.sources.tables import table
 
@@ -110,3 +110,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query()
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
+@REGISTRY.query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), digest=True)

@@ -270,6 +270,8 @@ def shard_of(doc_ids: np.ndarray, text_hashes: np.ndarray, shards: int) -> np.nd
 
 def packed(keys: np.ndarray, shards: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """The rows of the columns by key, each column as bytes; rows of a key stay in order."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     bounds = np.searchsorted(keys[order], np.arange(shards + 1)) if shards < len(keys) else None
     if bounds is None:
@@ -314,7 +316,7 @@ def apply_marks(docs: DataFrame, marks: DataFrame, shards: int, finish: Callable
         order = np.lexsort((spans[1], spans[0]))
         ids, hashes, starts, ends = (s[order] for s in spans)
         new = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])))) if len(ids) else np.zeros(0, np.int64)
-        of = {(int(ids[a]), int(hashes[a])): (a, b) for a, b in zip(new, [*new[1:], len(ids)], strict=True)}
+        of = {(int(ids[a]), int(hashes[a])): (a, b) for a, b in zip(new, [*new[1:], len(ids)], strict=len(ids) > 0)}
         rows = []
         for doc_id, text_hash, text in zip(left.column("doc_id"), left.column("text_hash"), left.column("text"), strict=True):
             doc_id = doc_id.as_py()
