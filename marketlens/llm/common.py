@@ -45,3 +45,23 @@ def word_count(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lowered, every other character unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a parquet table in the shared folder: columns, compressed, read in part by later plans."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def doc_key(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text_hash, text and further columns: what a document row is known and ordered by."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"), *more)
+
+
+def same_doc(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Join on doc_id and text_hash, null-safe; the keys stay those of ``docs``."""
+    found = found.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), how)
+    return joined.drop("_d", "_t")

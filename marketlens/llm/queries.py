@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, mixing, simhash, substring_dedup, suffix_dedup, warc
+from marketlens.llm import decontamination, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, warc
 from marketlens.plans.registry import Registry
 from marketlens.sources.tables import table
 
@@ -115,3 +115,38 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query()
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
+OP1_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), o AS (
+  SELECT doc_id, pos, line, doc_id * 10000000 + pos AS place FROM l WHERE line <> ''
+), u AS (
+  SELECT line, length(line) AS n, min(place) AS place FROM o GROUP BY line
+), k AS (
+  SELECT line, n, place, n - r AS m, unnest([
+    'p' || left(line, (n - r) // 2), 's' || right(line, (n - r) - (n - r) // 2)
+  ]) AS half FROM u, (SELECT unnest([0, 1]) AS r) WHERE n >= 16
+), c AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.n AS an, b.n AS bn, b.place AS place
+  FROM k a JOIN k b ON a.m = b.m AND a.half = b.half AND b.place < a.place AND abs(a.n - b.n) <= 1
+), near AS (
+  SELECT a AS line, min(place) AS best FROM c
+  WHERE len(list_filter(range(least(an, bn) + 1), lambda i: left(a, i) = left(b, i)
+    AND substr(a, i + 1 + CASE WHEN an >= bn THEN 1 ELSE 0 END) = substr(b, i + 1 + CASE WHEN bn >= an THEN 1 ELSE 0 END))) > 0
+  GROUP BY a
+), j AS (
+  SELECT o.*, o.place > least(u.place, coalesce(near.best, u.place)) AS late FROM o JOIN u USING (line) LEFT JOIN near USING (line)
+)
+SELECT l.doc_id, count(*) FILTER (WHERE l.line <> '')::BIGINT AS n_lines, count(*) FILTER (WHERE late)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE late IS NOT TRUE), '')) AS kept_sha256
+FROM l LEFT JOIN j USING (doc_id, pos) GROUP BY l.doc_id
+"""
+
+
+@REGISTRY.query(OP1_SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
