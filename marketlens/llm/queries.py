@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, warc
+from marketlens.llm import ann, decontamination, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from marketlens.plans.registry import Registry
 from marketlens.sources.tables import table
 
@@ -150,3 +150,13 @@ FROM l LEFT JOIN j USING (doc_id, pos) GROUP BY l.doc_id
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@REGISTRY.query()
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@REGISTRY.query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

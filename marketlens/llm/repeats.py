@@ -101,9 +101,10 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(batch: pa.RecordBatch, tokens: str, column: str = "text") -> Iterator[Slice]:
-    """Cut a batch into slices; tokens: 'bytes' or 'words'."""
+def slices(batch: pa.RecordBatch, tokens: str, column: str = "text", fold: np.ndarray | None = None) -> Iterator[Slice]:
+    """Cut a batch into slices; tokens: 'bytes' or 'words'; fold: what each byte is read as."""
     data, offsets = flat(batch.column(column))
+    data = data if fold is None else fold[data]
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
