@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Low bits of a minimum that hold the position; a slice has fewer tokens.
 POSITION_BITS = 31
-#: The sketch has 2^bits counters, in these limits; 2^29 counters make a bitmap of 64 MB.
-SKETCH_BITS = (18, 29)
+#: The sketch has DEPTH rows of 2^bits counters, in these limits; 2 rows of 2^28 make bitmaps of 64 MB.
+SKETCH_BITS = (18, 28)
+DEPTH = 2
 #: Counters a token of expected anchors.
 SKETCH_LOAD = 4
 SHARDS_BITS = 6
 #: Anchors that a task counts before it lets them go.
-SKETCH_FLUSH = 1 << 21
+SKETCH_FLUSH = 1 << 20
 
 _U = np.uint64
 _RADIX, _RADIX2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -182,34 +183,37 @@ def sketch_bits(anchors_expected: float) -> int:
     return int(min(high, max(low, np.ceil(np.log2(max(1.0, anchors_expected * SKETCH_LOAD))))))
 
 
-def _counted(buckets: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def buckets(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
+    """The counter of each anchor in a row of the sketch."""
+    return ((hashes if row == 0 else mixed(hashes + _U(row))) >> _U(64 - bits)).astype(np.uint32)
+
+
+def _counted(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """A partition sketch, sparse: by shard, the counters at 1 and those at 2 or more."""
-    buckets = np.sort(buckets)
-    new = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
-    counts, values = np.diff(np.concatenate((new, [len(buckets)]))), buckets[new]
-    cut = bits - SHARDS_BITS
-    bounds = np.searchsorted(values, np.arange((1 << SHARDS_BITS) + 1, dtype=np.uint64) << np.uint64(cut))
-    rows = []
-    for shard in range(1 << SHARDS_BITS):
-        own, often = (values[bounds[shard] : bounds[shard + 1]] & ((1 << cut) - 1)).astype(np.uint32), counts[bounds[shard] : bounds[shard + 1]] > 1
-        if len(own):
-            rows.append((shard, own[~often].tobytes(), own[often].tobytes()))
+    cut, rows = bits - SHARDS_BITS, []
+    for row in range(DEPTH):
+        values, counts = np.unique(buckets(hashes, bits, row), return_counts=True)
+        bounds = np.searchsorted(values, np.arange((1 << SHARDS_BITS) + 1, dtype=np.uint64) << np.uint64(cut))
+        for shard in range(1 << SHARDS_BITS):
+            own, often = values[bounds[shard] : bounds[shard + 1]] & np.uint32((1 << cut) - 1), counts[bounds[shard] : bounds[shard + 1]] > 1
+            if len(own):
+                rows.append((row << SHARDS_BITS | shard, own[~often].tobytes(), own[often].tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "once", "often"])
 
 
 def repeated_bitmap(docs: DataFrame, tokens: str, window: int, gram: int, bits: int) -> np.ndarray:
-    """The merged count-min sketch as a bitmap: bit b is set if counter b is 2 or more.
+    """The merged count-min sketch as a bitmap for each row: bit b is set if counter b is 2 or more.
 
     Each task counts its anchors in a sketch of its own; the sketches are added
     shard by shard. Counters only overestimate, so a repeated window always has
-    its bit set. The bitmap has 2^bits bits, 64 MB at most.
+    its bits set. The bitmaps have 64 MB together at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in slices(batch, tokens):
-                held.append((anchors(part, window, gram).hash >> _U(64 - bits)).astype(np.uint32))
+                held.append(anchors(part, window, gram).hash)
                 size += len(held[-1])
                 if size >= SKETCH_FLUSH:
                     yield from _counted(np.concatenate(held), bits)
@@ -228,18 +232,21 @@ def repeated_bitmap(docs: DataFrame, tokens: str, window: int, gram: int, bits:
         if counters:
             yield pa.RecordBatch.from_arrays([pa.array(list(counters), pa.int32()), pa.array([np.packbits(c >= 2).tobytes() for c in counters.values()], pa.binary())], names=["shard", "bits"])
 
-    sketches = docs.select("text").mapInArrow(count, "shard int, once binary, often binary").repartition(1 << SHARDS_BITS, "shard")
-    merged = sketches.mapInArrow(merge, "shard int, bits binary").collect()  # 64 rows, 64 MB together at most
-    out = np.zeros((1 << SHARDS_BITS, 1 << (bits - SHARDS_BITS - 3)), np.uint8)
+    sketches = docs.select("text").mapInArrow(count, "shard int, once binary, often binary").repartition(DEPTH << SHARDS_BITS, "shard")
+    merged = sketches.mapInArrow(merge, "shard int, bits binary").collect()  # a row a shard, 64 MB together at most
+    out = np.zeros((DEPTH << SHARDS_BITS, 1 << (bits - SHARDS_BITS - 3)), np.uint8)
     for row in merged:
         out[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
+    return out.reshape(DEPTH, -1)
 
 
 def is_repeated(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
-    """Which anchors have an estimated count of 2 or more."""
-    bucket = (hashes >> _U(64 - bits)).astype(np.int64)
-    return (bitmap[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+    """Which anchors have an estimated count of 2 or more: the least counter over the rows."""
+    out = np.ones(len(hashes), bool)
+    for row in range(DEPTH):
+        bucket = buckets(hashes, bits, row).astype(np.int64)
+        out &= (bitmap[row, bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 # --- marks and their way back to the documents ------------------------------

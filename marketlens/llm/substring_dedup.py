@@ -4,7 +4,7 @@ A first pass over the texts builds partition sketches of window counts, which
 are merged. A second pass takes only windows that the merged sketch estimates
 as repeated. Each task first settles what repeats inside its own rows, so that
 of a window that is very common only one occurrence per task goes on; these
-meet by window hash (128 bits: window and anchor), and all but the earliest are
+meet by window hash (96 bits: 64 of the window, 32 of its anchor), and all but the earliest are
 marked. Counters only overestimate, so no repeated window is lost.
 """
 
@@ -24,14 +24,14 @@ from marketlens.llm.repeats import Anchors, Slice
 WINDOW = 20
 GRAM = 8
 #: Text bytes per shard of windows and of documents.
-WINDOW_SHARD_BYTES = 4 << 20
+WINDOW_SHARD_BYTES = 16 << 20
 DOC_SHARD_BYTES = 8 << 20
 #: Windows that a task holds before it settles them.
 HELD_WINDOWS = 1 << 20
 
 _CONTEST = "shard long, windows binary, anchors binary, doc_ids binary, text_hashes binary, starts binary, marks_ids binary, marks_hashes binary, marks_starts binary, marks_ends binary"
 _NAMES = [c.split()[0] for c in _CONTEST.split(", ")]
-_TYPES = (np.uint64, np.uint64, np.int64, np.int64, np.int32)
+_TYPES = (np.uint64, np.uint32, np.int64, np.int64, np.int32)
 
 
 def _later(windows: np.ndarray, anchor: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ def candidate_windows(part: Slice, found: Anchors, keep: np.ndarray, window: int
     total = int(counts.sum())
     step = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
     x = np.repeat(found.low[keep], counts) + step
-    return x, repeats.span_hashes(part.codes, x, x + window, repeats._RADIX), np.repeat(found.hash[keep], counts), np.repeat(found.doc[keep], counts)
+    return x, repeats.span_hashes(part.codes, x, x + window, repeats._RADIX), np.repeat(found.hash[keep].astype(np.uint32), counts), np.repeat(found.doc[keep], counts)
 
 
 def _finish(doc_id: int | None, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
