@@ -5,7 +5,8 @@ their own counts of a byte after its context and back off to one distribution:
 the Kneser-Ney continuation counts of the shorter contexts over both classes
 together, so that what is rare in both says little. A document's score is the
 difference of the two log-likelihoods by length, made a probability on labelled
-documents that neither model has seen.
+documents that neither model has seen. Counts are of documents: a gram that one
+document repeats counts once.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import repeats
 
-ORDER = 4
+ORDER = 5
 DISCOUNT = 0.75
 #: Grams seen less often over both classes are left to the shared backoff.
 LEAST_COUNT = 3
+#: So are those whose counts lie within as many standard deviations of what the classes' sizes explain.
+DEVIATIONS = 3.0
 #: Labelled documents per class that the models and the calibration are fitted to, chosen by a hash of the id.
 TRAIN_DOCS = 20_000
 #: Share of those, in fifths, that calibrates.
@@ -89,21 +92,24 @@ def continuation(keys: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray
     return np.maximum(counts - DISCOUNT, 0) / total[of] + DISCOUNT * types[of] / total[of] * below[low]
 
 
-def fit_ratios(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int, least: int = LEAST_COUNT) -> Model:
-    """Log ratios of the class models for all grams seen often enough."""
+def fit_ratios(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int, least: int = LEAST_COUNT, deviations: float = DEVIATIONS) -> Model:
+    """Log ratios of the class models for all grams whose counts say something; the rest share one estimate, with ratio 0."""
     if not len(keys) or not toxic.any() or not ordinary.any():
         return Model(keys[:0], np.zeros(0))
     shorter, low = np.unique(keys & ((1 << (8 * (order - 1))) - 1), return_inverse=True)
     shared = continuation(shorter, _sums(low, None, len(shorter)), order - 1)[low]
     contexts, of = np.unique(keys >> 8, return_inverse=True)
-    logs = []
+    logs, totals = [], []
     for counts in (toxic, ordinary):
         total, types = _sums(of, counts, len(contexts)), _sums(of, counts > 0, len(contexts))
         seen = total > 0
         rest = np.where(seen, DISCOUNT * types / np.maximum(total, 1), 1.0)
         own = np.where(seen[of], np.maximum(counts - DISCOUNT, 0) / np.maximum(total[of], 1), 0.0)
         logs.append(np.log(own + rest[of] * shared))
-    keep = toxic + ordinary >= least
+        totals.append(total[of])
+    part = totals[0] / (totals[0] + totals[1])
+    expected = (toxic + ordinary) * part
+    keep = (toxic + ordinary >= least) & (np.abs(toxic - expected) > deviations * np.sqrt(expected * (1 - part) + 0.5))
     return Model(keys[keep], (logs[0] - logs[1])[keep])
 
 
@@ -136,8 +142,11 @@ def _pair_counts(order: int):
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
             for part in repeats.slices(batch, "bytes", fold=_FOLD):
                 own = np.repeat(label[part.rows.start : part.rows.stop], np.diff(part.offsets))
-                held.append(grams(part.data, part.offsets, order) << 1 | own)
-                size += len(own)
+                keys, doc = grams(part.data, part.offsets, order) << 1 | own, np.repeat(np.arange(len(part.rows)), np.diff(part.offsets))
+                at = np.lexsort((keys, doc))
+                keys, doc = keys[at], doc[at]
+                held.append(keys[np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))] if len(keys) else keys)
+                size += len(held[-1])
                 if size >= FLUSH:
                     yield from out()
                     held, size = [], 0
