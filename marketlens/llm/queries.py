@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ann, decontamination, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from marketlens.llm import ann, decontamination, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from marketlens.plans.registry import Registry
 from marketlens.sources.tables import table
 
@@ -160,3 +160,8 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query()
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@REGISTRY.query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
