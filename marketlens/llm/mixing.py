@@ -80,10 +80,11 @@ def thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", (F.col("low") + F.when(F.col("tokens") - F.col("budget") < F.col("budget"), 1).otherwise(0)).alias("below"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, whole: bool = False) -> DataFrame:
     """Words that a mix takes of each document.
 
-    Returns doc_id, size, source_size, target, taken. A source takes
+    Returns doc_id, size, source_size, target, taken; with ``whole`` all columns
+    of docs instead of doc_id, whatever their names. A source takes
     floor(target / source_size) whole copies and, by threshold, part of one more.
     Null texts have size 0; null sources form one source, last in order; rows
     that repeat an id share its hash, so they are taken together; an empty
@@ -95,6 +96,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
     below = thresholds(sized, budgets.select("source", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget")))
     plan = targets.join(below.withColumnRenamed("source", "b"), F.col("source").eqNullSafe(F.col("b")), "left")
     plan = plan.select(F.col("source").alias("s"), "source_size", "target", "copies", F.coalesce("below", F.lit(0)).alias("below"))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)} if whole else {"doc_id": "doc_id"}
+    if whole:
+        rows = docs.withColumnsRenamed(names)
+        sized = rows.withColumns({"source": F.col(names["source"]), "size": word_count(F.col(names["text"])), "hash": id_hash(F.col(names["doc_id"]))})
     out = sized.join(broadcast_if_small(plan, targets.count(), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s")))
     taken = F.col("size") * (F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    kept = [F.col(n).alias(c) for c, n in names.items() if c not in ("size", "source_size", "target", "taken")]
+    return out.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))

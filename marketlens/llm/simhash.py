@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import settled
+from marketlens.llm.common import doc_key, settled
 from marketlens.llm.components import components
 
 SHINGLE = 4
@@ -55,12 +55,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.int64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; a null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp) for every row; a null text counts as empty."""
+    return doc_key(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text").mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 class BkTree:
@@ -158,18 +158,33 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links) for every row.
+    """doc_id, text_hash, fp, root and component_id (smallest doc_id reachable over links) for every row.
 
-    Null and wordless texts have fingerprint 0 and link like any other. Null
-    ids stay in their component but never name it, unless it has no other id.
-    Repeated rows are all returned. An empty table gives no rows.
+    root names the component, also where ids repeat. Null and wordless texts
+    have fingerprint 0 and link like any other. Null ids stay in their component
+    but never name it, unless it has no other id. Repeated rows are all
+    returned. An empty table gives no rows.
     """
     found = settled(fingerprints(docs))
     reps = settled(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = settled(components(near_links(reps.select("fp"), radius)))
     joined = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return found.join(joined.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return found.join(joined.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, that with the smallest doc_id (then text hash); columns unchanged.
+
+    Of rows that repeat the id and text of the one that stays, one stays.
+    """
+    found = settled(near_duplicates(docs, radius))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    best = found.groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("_d"), F.col("b.text_hash").alias("_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_t"))
+    kept = docs.join(best, same, "left_semi")
+    again = found.groupBy("doc_id", "text_hash").count().filter("count > 1").head(1)
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 
 def hex_fingerprint(fp: str = "fp"):
