@@ -11,7 +11,22 @@ renaming and no recursion.
 
 from __future__ import annotations
 
-from itertools import groupby
+from collections.abc import Iterator
+
+
+def _moves(befores: list[int], group_of: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """(group, suffixes that leave it upwards): those that more members follow first."""
+    counts: dict[int, int] = {}
+    for p in befores:
+        counts[p] = counts.get(p, 0) + 1
+    levels: dict[int, list[int]] = {}
+    for p, n in counts.items():
+        levels.setdefault(n, []).append(p)
+    for n in sorted(levels, reverse=True):
+        parts: dict[int, list[int]] = {}
+        for p in levels[n]:
+            parts.setdefault(group_of[p], []).append(p)
+        yield from parts.items()
 
 
 def lyndon_groups(text: list[int]) -> tuple[list[int], list[list[int]], list[int]]:
@@ -32,38 +47,38 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[list[int]], list[int
     final: list[list[int]] = []
     g = len(symbols) - 1
     while g >= 0:
-        own = [s for s in members[g] if group_of[s] == g]
+        own = members[g]
+        if size[g] < len(own):
+            own = [s for s in own if group_of[s] == g]
         for s in own:
             done[s] = 1
-        counts: dict[int, int] = {}
+        befores = []
         for s in own:
-            j = s - 1
+            j = k = s - 1
             while j >= 0 and done[j]:
                 j = jump[j]
-            k = s - 1
             while k > j:  # shorten the way for those to come
                 jump[k], k = j, jump[k]
             previous[s] = jump[s] = j
             if j >= 0:
-                counts[j] = counts.get(j, 0) + 1
-        for _, alike in groupby(sorted(counts, key=counts.__getitem__, reverse=True), key=counts.__getitem__):
-            parts: dict[int, list[int]] = {}
-            for p in alike:
-                parts.setdefault(group_of[p], []).append(p)
-            for h, moved in parts.items():
-                if len(moved) < size[h]:
-                    new = len(members)
-                    members.append(moved)
-                    size.append(len(moved))
-                    size[h] -= len(moved)
-                    for p in moved:
-                        group_of[p] = new
-                    over = above[h]
-                    below.append(h)
-                    above.append(over)
-                    below[over] = above[h] = new
+                befores.append(j)
         final.append(own)
-        members[g] = own
+        if len(befores) == 1:
+            moves = ((group_of[befores[0]], befores),)
+        else:
+            moves = _moves(befores, group_of)
+        for h, moved in moves:
+            if len(moved) < size[h]:
+                new = len(members)
+                members.append(moved)
+                size.append(len(moved))
+                size[h] -= len(moved)
+                for p in moved:
+                    group_of[p] = new
+                over = above[h]
+                below.append(h)
+                above.append(over)
+                below[over] = above[h] = new
         g = below[g]
     return group_of, final, previous
 
@@ -74,7 +89,7 @@ def suffix_array(text: list[int]) -> list[int]:
     if not n:
         return []
     group_of, final, previous = lyndon_groups(text)
-    place: dict[int, int] = {}
+    place = [0] * (max(group_of) + 1)
     at = 0
     for own in reversed(final):
         place[group_of[own[0]]] = at

@@ -28,7 +28,7 @@ DOC_SHARD_BYTES = 8 << 20
 #: Block bytes that a task holds before it settles them.
 HELD_BYTES = 32 << 20
 #: Symbols in one suffix array, unless the blocks of one anchor have more.
-ARRAY_SYMBOLS = 1 << 18
+ARRAY_SYMBOLS = 1 << 15
 
 _NAMES = ["shard", "anchors", "digests", "doc_ids", "text_hashes", "starts", "sizes", "data", "marks_ids", "marks_hashes", "marks_starts", "marks_ends"]
 _BLOCKS = "shard long, " + ", ".join(f"{n} binary" for n in _NAMES[1:])
