@@ -41,7 +41,7 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[list[int]], list[int
     size = list(map(len, members))
     below = list(range(-1, len(symbols) - 1))
     above = list(range(1, len(symbols) + 1))
-    done = bytearray(n + 1)
+    done = bytearray(n + 1)  # done[-1], the place before the text, stays 0
     previous = [-1] * n
     jump = [-1] * n
     final: list[list[int]] = []
@@ -50,24 +50,40 @@ def lyndon_groups(text: list[int]) -> tuple[list[int], list[list[int]], list[int
         own = members[g]
         if size[g] < len(own):
             own = [s for s in own if group_of[s] == g]
+        final.append(own)
+        if len(own) == 1:
+            s = own[0]
+            done[s] = 1
+            j = k = s - 1
+            while done[j]:
+                j = jump[j]
+            while k > j:
+                jump[k], k = j, jump[k]
+            previous[s] = jump[s] = j
+            if j >= 0 and size[h := group_of[j]] > 1:
+                size[h] -= 1
+                group_of[j] = new = len(members)
+                members.append([j])
+                size.append(1)
+                over = above[h]
+                below.append(h)
+                above.append(over)
+                below[over] = above[h] = new
+            g = below[g]
+            continue
         for s in own:
             done[s] = 1
         befores = []
         for s in own:
             j = k = s - 1
-            while j >= 0 and done[j]:
+            while done[j]:
                 j = jump[j]
             while k > j:  # shorten the way for those to come
                 jump[k], k = j, jump[k]
             previous[s] = jump[s] = j
             if j >= 0:
                 befores.append(j)
-        final.append(own)
-        if len(befores) == 1:
-            moves = ((group_of[befores[0]], befores),)
-        else:
-            moves = _moves(befores, group_of)
-        for h, moved in moves:
+        for h, moved in _moves(befores, group_of):
             if len(moved) < size[h]:
                 new = len(members)
                 members.append(moved)

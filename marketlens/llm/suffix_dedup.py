@@ -22,7 +22,7 @@ from marketlens.llm.repeats import Anchors, Slice
 from marketlens.llm.suffix_array import suffix_array
 
 WINDOW = 100
-GRAM = 32
+GRAM = 24
 BLOCK_SHARD_BYTES = 4 << 20
 DOC_SHARD_BYTES = 8 << 20
 #: Block bytes that a task holds before it settles them.
@@ -135,9 +135,12 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest
         first, later = _earliest_blocks(anchor, hashed, sizes, ids, hashes, starts)
         first = first[np.lexsort((starts[first], hashes[first], ids[first]))]
         keys = (repeats.mixed(anchor[first]) % np.uint64(block_shards)).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        first, keys = first[order], keys[order]
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))).tolist()
         out = []
-        for key in np.unique(keys).tolist():
-            own = first[keys == key]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own, key = first[a:b], int(keys[a])
             out.append((key, *(c[own].tobytes() for c in (anchor, hashed, ids, hashes, starts, sizes)), _gathered(data, at[own], sizes[own]).tobytes(), b"", b"", b"", b""))
         marks = (ids[later], hashes[later], starts[later], starts[later] + sizes[later])
         out += [(k, *[b""] * 7, *c) for k, c in repeats.packed(repeats.shard_of(marks[0], marks[1], block_shards), block_shards, *marks)]
