@@ -65,3 +65,16 @@ def same_doc(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     found = found.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), how)
     return joined.drop("_d", "_t")
+
+
+def filter_docs(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows of docs whose doc_id and text are (left_semi) or are not (left_anti) in found (doc_id, text_hash).
+
+    The keys of found take names that docs does not have.
+    """
+    taken, n = {c.lower() for c in docs.columns}, 0
+    while {f"key{n}", f"hash{n}"} & taken:
+        n += 1
+    keys = found.select(F.col("doc_id").alias(f"key{n}"), F.col("text_hash").alias(f"hash{n}"))
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col(f"key{n}")) & (text_hash == F.col(f"hash{n}")), how)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import ascii_lower, broadcast_if_small, settled
+from marketlens.llm.common import ascii_lower, broadcast_if_small, filter_docs, settled
 
 WINDOW = 10
 #: Letters and digits of ASCII and all other characters; case is folded afterwards.
@@ -94,5 +94,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window, columns unchanged."""
-    found = contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("t")), "left_anti")
+    return filter_docs(docs, contamination(docs, benchmark, window).filter("n_hit > 0"), "left_anti")

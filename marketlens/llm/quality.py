@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import repeats
-from marketlens.llm.common import written
+from marketlens.llm.common import filter_docs, written
 from marketlens.llm.toxicity import fold_of
 
 ROUNDS = 3
@@ -178,6 +178,4 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, columns unchanged."""
-    bad = scores(docs, labels).filter(F.col("score") < threshold).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_t"))
-    return docs.join(bad, same, "left_anti")
+    return filter_docs(docs, scores(docs, labels).filter(F.col("score") < threshold), "left_anti")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import doc_key, settled
+from marketlens.llm.common import doc_key, filter_docs, settled
 from marketlens.llm.components import components
 
 SHINGLE = 4
@@ -180,9 +180,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     found = settled(near_duplicates(docs, radius))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    best = found.groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("_d"), F.col("b.text_hash").alias("_t"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_t"))
-    kept = docs.join(best, same, "left_semi")
+    best = found.groupBy("root").agg(F.min(order).alias("b")).select("b.doc_id", "b.text_hash")
+    kept = filter_docs(docs, best, "left_semi")
     again = found.groupBy("doc_id", "text_hash").count().filter("count > 1").head(1)
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 

@@ -3,7 +3,8 @@
 One model is fitted to toxic documents and one to ordinary ones. Both discount
 their own counts of a byte after its context and back off to one distribution:
 the Kneser-Ney continuation counts of the shorter contexts over both classes
-together, so that what is rare in both says little. A document's score is the
+together, so that what is rare in both says little. A context too rare to tell
+the classes apart leaves the byte to a shorter one. A document's score is the
 difference of the two log-likelihoods by length, made a probability on labelled
 documents that neither model has seen. Counts are of documents: a gram that one
 document repeats counts once.
@@ -23,10 +24,14 @@ from marketlens.llm import repeats
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Grams seen less often over both classes are left to the shared backoff.
-LEAST_COUNT = 3
-#: So are those whose counts lie within as many standard deviations of what the classes' sizes explain.
+#: Shortest grams that a sparse longer one backs off to.
+LEAST_ORDER = 2
+#: Grams seen in fewer documents say nothing of their own, unless their counts are significant.
+LEAST_COUNT = 10
+#: A ratio is significant beyond as many standard deviations of what the classes' sizes explain.
 DEVIATIONS = 3.0
+#: The length of a gram stands above its bytes.
+_LENGTH_SHIFT = 48
 #: Labelled documents per class that the models and the calibration are fitted to, chosen by a hash of the id.
 TRAIN_DOCS = 20_000
 #: Share of those, in fifths, that calibrates.
@@ -58,6 +63,11 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def tagged(keys: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes of each gram, marked with n."""
+    return keys & ((1 << (8 * n)) - 1) | n << _LENGTH_SHIFT
+
+
 @dataclass
 class Model:
     """Grams in order with the log ratio of their class probabilities; a score x becomes 1 / (1 + exp(-(slope x + shift)))."""
@@ -71,9 +81,15 @@ class Model:
         """The difference of log-likelihoods of each text, divided by its length; 0 for an empty one."""
         total = np.zeros(len(data) + 1)
         if len(data) and len(self.grams):
-            key = grams(data, offsets, order)
-            at = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
-            np.cumsum(np.where(self.grams[at] == key, self.ratios[at], 0.0), out=total[1:])
+            key, value = grams(data, offsets, order), np.zeros(len(data))
+            left = np.arange(len(data))
+            for n in range(order, LEAST_ORDER - 1, -1):  # the longest gram that says something
+                own = tagged(key[left], n)
+                at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+                found = self.grams[at] == own
+                value[left[found]] = self.ratios[at[found]]
+                left = left[~found]
+            np.cumsum(value, out=total[1:])
         return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
 
 
@@ -93,9 +109,18 @@ def continuation(keys: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray
 
 
 def fit_ratios(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int, least: int = LEAST_COUNT, deviations: float = DEVIATIONS) -> Model:
-    """Log ratios of the class models for all grams whose counts say something; the rest share one estimate, with ratio 0."""
-    if not len(keys) or not toxic.any() or not ordinary.any():
-        return Model(keys[:0], np.zeros(0))
+    """Log ratios of the class models for tagged grams that say something; 0 for those whose ratio is not significant."""
+    found, ratios = [keys[:0]], [np.zeros(0)]
+    for n in range(LEAST_ORDER, order + 1):
+        own = keys >> _LENGTH_SHIFT == n
+        if toxic[own].any() and ordinary[own].any():
+            at, ratio = _order_ratios(keys[own] & ((1 << _LENGTH_SHIFT) - 1), toxic[own], ordinary[own], n, least, deviations)
+            found.append(tagged(at, n))
+            ratios.append(ratio)
+    return Model(np.concatenate(found), np.concatenate(ratios))
+
+
+def _order_ratios(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int, least: int, deviations: float) -> tuple[np.ndarray, np.ndarray]:
     shorter, low = np.unique(keys & ((1 << (8 * (order - 1))) - 1), return_inverse=True)
     shared = continuation(shorter, _sums(low, None, len(shorter)), order - 1)[low]
     contexts, of = np.unique(keys >> 8, return_inverse=True)
@@ -109,8 +134,9 @@ def fit_ratios(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order:
         totals.append(total[of])
     part = totals[0] / (totals[0] + totals[1])
     expected = (toxic + ordinary) * part
-    keep = (toxic + ordinary >= least) & (np.abs(toxic - expected) > deviations * np.sqrt(expected * (1 - part) + 0.5))
-    return Model(keys[keep], (logs[0] - logs[1])[keep])
+    significant = np.abs(toxic - expected) > deviations * np.sqrt(expected * (1 - part) + 0.5)
+    keep = significant | ((toxic + ordinary >= least) & (totals[0] > 0) & (totals[1] > 0))
+    return keys[keep], np.where(significant, logs[0] - logs[1], 0.0)[keep]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -142,11 +168,13 @@ def _pair_counts(order: int):
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
             for part in repeats.slices(batch, "bytes", fold=_FOLD):
                 own = np.repeat(label[part.rows.start : part.rows.stop], np.diff(part.offsets))
-                keys, doc = grams(part.data, part.offsets, order) << 1 | own, np.repeat(np.arange(len(part.rows)), np.diff(part.offsets))
-                at = np.lexsort((keys, doc))
-                keys, doc = keys[at], doc[at]
-                held.append(keys[np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))] if len(keys) else keys)
-                size += len(held[-1])
+                every, doc = grams(part.data, part.offsets, order), np.repeat(np.arange(len(part.rows)), np.diff(part.offsets))
+                for n in range(LEAST_ORDER, order + 1):
+                    keys = tagged(every, n) << 1 | own
+                    at = np.lexsort((keys, doc))
+                    keys, of = keys[at], doc[at]
+                    held.append(keys[np.concatenate(([True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])))] if len(keys) else keys)
+                    size += len(held[-1])
                 if size >= FLUSH:
                     yield from out()
                     held, size = [], 0
