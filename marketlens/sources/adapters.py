@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from marketlens.sources.tables import table
 
-DAY = F.col("l_shipdate").cast("date")
+
+def _day() -> Column:
+    return F.col("l_shipdate").cast("date")
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +41,7 @@ def in_stock() -> Column:
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """product_id, store_id, day, price, in_stock, order_id, line: every offer ever seen."""
     return table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("store_id"), DAY.alias("day"), F.col("l_extendedprice").alias("price"),
+        F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("store_id"), _day().alias("day"), F.col("l_extendedprice").alias("price"),
         in_stock().alias("in_stock"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"),
     )
 
@@ -60,7 +62,7 @@ def history(spark: SparkSession, d: str) -> DataFrame:
 
 def as_of(spark: SparkSession, d: str) -> Column:
     """The last day in the data as a literal; one aggregate over one column."""
-    return F.lit(table(spark, d, "lineitem").agg(F.max(DAY)).first()[0])
+    return F.lit(table(spark, d, "lineitem").agg(F.max(_day())).first()[0])
 
 
 def catalogue_state(spark: SparkSession, d: str) -> DataFrame:
