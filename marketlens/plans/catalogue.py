@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
-from marketlens.operators import extract, fusion, history, matching, pricing, reports, search, state
+from marketlens.operators import discovery, extract, fusion, history, matching, pricing, querying, reports, search, state
 from marketlens.plans.registry import Registry
 from marketlens.sources import adapters as A
 from marketlens.sources.tables import table
@@ -524,3 +524,60 @@ def html_text(spark, d):
 @_("SELECT page_id, replace(replace(replace(replace(replace(replace(url, '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS url FROM pages")
 def entity_decode(spark, d):
     return table(spark, d, "pages").select("page_id", T.decoded_entities(F.col("url")).alias("url"))
+
+
+# --- discovery and queries for stores -----------------------------------------
+
+_CAT_RULES = (("hot", "tv", "TV"), ("red|blue", "telefona", "Smartphone"), ("bolt", "kompjutere", "Laptop"))
+_RULES = tuple((c, s, w) for w, c, s in _CAT_RULES)
+_CAT_SQL = "CASE WHEN regexp_matches(p_name, '\\bhot\\b') THEN 'tv' WHEN regexp_matches(p_name, '\\b(red|blue)\\b') THEN 'telefona' WHEN regexp_matches(p_name, '\\bbolt\\b') THEN 'kompjutere' ELSE 'tjera' END"
+
+
+@_(f"SELECT {_CAT_SQL} AS new_category, count(*) AS n, count(*) FILTER (WHERE {_CAT_SQL} <> p_type) AS changed FROM part GROUP BY 1")
+def recategorise_distribution(spark, d):
+    return discovery.recategorised(A.products(spark, d), _RULES)
+
+
+@_(f"""WITH c AS (SELECT p_partkey AS id, p_name AS family, {_CAT_SQL} AS category FROM part)
+SELECT id, family, CASE category WHEN 'telefona' THEN 0 WHEN 'kompjutere' THEN 1 ELSE 4 END AS rank FROM c ORDER BY rank, id LIMIT 50""")
+def image_backlog(spark, d):
+    rows = A.products(spark, d).withColumn("c", discovery.category(F.col("family"), _RULES))
+    rows = rows.select("id", "family", "c.category", "c.subcategory", F.lit("").alias("image_url"))
+    return discovery.image_backlog(rows).select("id", "family", "rank")
+
+
+@_("""WITH l AS (SELECT user_id, event_type, max(ts) AS m FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY m DESC, event_type DESC) AS n FROM l)
+SELECT user_id AS "user", string_agg(event_type, ',' ORDER BY n) AS searches FROM r WHERE n <= 5 GROUP BY user_id""")
+def recent_searches(spark, d):
+    rows = A.events(spark, d).select(F.col("user_id").alias("user"), F.col("event_type").alias("q"), F.col("ts").alias("at"))
+    return discovery.recent_searches(rows).select("user", F.concat_ws(",", "searches").alias("searches"))
+
+
+@_(f"WITH {NAMES} SELECT id, trim(regexp_replace(regexp_replace(name, '\\d+gb', '', 'g'), '\\s+', ' ', 'g')) AS query FROM names")
+def query_clean(spark, d):
+    return _names(spark, d).select("id", querying.clean_query(F.col("name")).alias("query"))
+
+
+@_(f"WITH {NAMES} SELECT id, CASE WHEN regexp_matches(name, '\\bred\\b') THEN 100 WHEN regexp_matches(name, '\\bblue\\b') THEN 0 ELSE -1 END AS confidence FROM names")
+def colour_confidence(spark, d):
+    return _names(spark, d).select("id", querying.colour_confidence(F.lit("red"), F.col("name")).alias("confidence"))
+
+
+@_(f"WITH {NAMES} SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS handle FROM names")
+def url_handle(spark, d):
+    return _names(spark, d).select("id", querying.handle(F.col("name")).alias("handle"))
+
+
+@_("SELECT page_id, CASE WHEN html ILIKE '%schema.org/instock%' THEN true WHEN html ILIKE '%schema.org/outofstock%' THEN false WHEN regexp_matches(lower(html), 'delivery-not-available|sold-out') THEN false WHEN regexp_matches(lower(html), 'delivery-available|add-to-cart') THEN true END AS in_stock FROM pages")
+def html_stock(spark, d):
+    return table(spark, d, "pages").select("page_id", extract.stock_from_html(F.col("html")).alias("in_stock"))
+
+
+@_("""SELECT user_id AS id, section, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS items FROM (
+  SELECT user_id, event_type, count(*) AS n, CASE WHEN event_type IN ('view', 'click') THEN 'Visit' ELSE 'Tjera' END AS section FROM events GROUP BY ALL) GROUP BY ALL""")
+def spec_sections(spark, d):
+    counts = A.events(spark, d).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    key = F.when(F.col("event_type").isin("view", "click"), F.concat(F.lit("Visit: "), F.col("event_type"))).otherwise(F.col("event_type"))
+    specs = counts.groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_type", key.alias("k"), F.col("n").cast("string").alias("v")))).alias("s"))
+    specs = specs.select("id", F.transform("s", lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))).alias("specs"))
+    return extract.spec_sections(specs).select("id", "section", F.array_join(F.transform("items", lambda x: F.concat(x["k"], F.lit("="), x["v"])), ",").alias("items"))
