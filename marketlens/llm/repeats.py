@@ -232,7 +232,8 @@ def repeated_bitmap(docs: DataFrame, tokens: str, window: int, gram: int, bits:
         if counters:
             yield pa.RecordBatch.from_arrays([pa.array(list(counters), pa.int32()), pa.array([np.packbits(c >= 2).tobytes() for c in counters.values()], pa.binary())], names=["shard", "bits"])
 
-    sketches = docs.select("text").mapInArrow(count, "shard int, once binary, often binary").repartition(DEPTH << SHARDS_BITS, "shard")
+    tasks = min(DEPTH << SHARDS_BITS, max(8, 1 << max(0, bits - 20)))  # counters in a task stay within some MB
+    sketches = docs.select("text").mapInArrow(count, "shard int, once binary, often binary").repartition(tasks, "shard")
     merged = sketches.mapInArrow(merge, "shard int, bits binary").collect()  # a row a shard, 64 MB together at most
     out = np.zeros((DEPTH << SHARDS_BITS, 1 << (bits - SHARDS_BITS - 3)), np.uint8)
     for row in merged:
