@@ -41,6 +41,11 @@ def _middle(segments: int) -> Column:
     return F.substr("line", before + 1, F.length("line") - before - after)
 
 
+def _without(text: str, at: Column) -> Column:
+    """The text without the character at the index; the whole text for -1."""
+    return F.concat(F.substr(text, F.lit(1), F.greatest(at, F.lit(0))), F.substr(text, at + 2))
+
+
 def _roles(segments: int) -> Column:
     """Role 0: the line is the shorter or equal one of a pair; role 1: it is one longer."""
     return F.inline(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(j).alias("j")) for r in (0, 1) for j in range(segments)]))
@@ -72,20 +77,24 @@ def near_lines(lines: DataFrame, texts: DataFrame, segments: int = SEGMENTS) ->
     cut = cut.join(_shared(cut, "context"), "context", "left_semi").withColumn("middle", _middle(segments))
     at = F.explode(F.sequence(F.col("r") - 1, F.length("middle") - 1))  # -1: nothing deleted, for role 0 only
     variants = cut.select("h1", "h2", "place", "context", "r", "middle", at.alias("at"))
-    rest = F.when(F.col("at") < 0, F.col("middle")).otherwise(F.concat(F.substr("middle", F.lit(1), F.col("at")), F.substr("middle", F.col("at") + 2)))
+    # role 1 deletes: within a run of equal characters any deletion gives the same rest, so the last stands for all
+    last = F.substr("middle", F.col("at") + 1, F.lit(1)) != F.substr("middle", F.col("at") + 2, F.lit(1))
+    variants = variants.filter((F.col("r") == 0) | last)
+    rest = _without("middle", F.col("at"))
     replaced = (F.col("r") == 0) & (F.col("at") >= 0)  # equal rest at the same place: one character differs
     variants = variants.select(
-        "h1", "h2", "place", "middle", F.when(replaced, F.xxhash64("context", rest, "at")).otherwise(F.xxhash64("context", rest, F.lit(-1))).alias("variant"),
+        "h1", "h2", "place", "middle", "at", F.when(replaced, F.xxhash64("context", rest, "at")).otherwise(F.xxhash64("context", rest, F.lit(-1))).alias("variant"),
         F.when(replaced, "replaced").when(F.col("at") < 0, "whole").otherwise("deleted").alias("kind"),
     )
     variants = variants.join(_shared(variants, "variant"), "variant", "left_semi")
     # different lines with one variant differ in a character of it at most, so these groups stay small
     group = Window.partitionBy("variant")
-    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("place", "middle"))).over(group)
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("place", "middle", "at"))).over(group)
     variants = variants.withColumns({"_replaced": least("replaced"), "_whole": least("whole"), "_deleted": least("deleted")})
     other = F.when(F.col("kind") == "replaced", F.col("_replaced")).when(F.col("kind") == "whole", F.col("_deleted")).otherwise(F.col("_whole"))
-    pairs = variants.select("h1", "h2", "place", "middle", other.alias("other")).filter("other.place < place")
-    pairs = pairs.filter(F.levenshtein("middle", F.col("other.middle"), 1) >= 0)
+    pairs = variants.select("h1", "h2", "place", "middle", "at", other.alias("other")).filter("other.place < place")
+    # equal once each side's character is out: at most one edit, checked in one pass at any length
+    pairs = pairs.filter(_without("middle", F.col("at")) == _without("other.middle", F.col("other.at")))
     return pairs.groupBy("h1", "h2").agg(F.min("other.place").alias("best"))
 
 
