@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
-from marketlens.operators import discovery, extract, fusion, history, matching, pricing, querying, reports, search, state
+from marketlens.operators import discovery, enrichment, extract, fusion, history, matching, pricing, querying, reports, search, state
 from marketlens.plans.registry import Registry
 from marketlens.sources import adapters as A
 from marketlens.sources.tables import table
@@ -581,3 +581,42 @@ def spec_sections(spark, d):
     specs = counts.groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_type", key.alias("k"), F.col("n").cast("string").alias("v")))).alias("s"))
     specs = specs.select("id", F.transform("s", lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))).alias("specs"))
     return extract.spec_sections(specs).select("id", "section", F.array_join(F.transform("items", lambda x: F.concat(x["k"], F.lit("="), x["v"])), ",").alias("items"))
+
+
+# --- enrichment ---------------------------------------------------------------
+
+
+@_(f"""WITH {NAMES} SELECT id, nullif(upper(regexp_extract(name, '(\\d+gb)', 1)), '') AS storage,
+  CASE WHEN regexp_matches(name, '\\bred\\b') THEN 'red' WHEN regexp_matches(name, '\\bblue\\b') THEN 'blue' END AS colour FROM names""")
+def specs_from_name(spark, d):
+    specs = enrichment.specs_from_name(F.col("name"))
+    return _names(spark, d).select("id", F.try_element_at(specs, F.lit("Storage")).alias("storage"), F.try_element_at(specs, F.lit("Colour")).alias("colour"))
+
+
+@_(f"WITH {NAMES} SELECT id, trim(regexp_replace(regexp_replace(name, '\\d+gb', '', 'g'), '\\s+', ' ', 'g')) AS lookup FROM names")
+def lookup_name(spark, d):
+    return _names(spark, d).select("id", enrichment.lookup_name(F.concat("name", F.lit(", 5G"))).alias("lookup"))
+
+
+@_("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 4 >= 2 THEN c_custkey::INT END AS threshold FROM customer""")
+def alert_inputs(spark, d):
+    key = F.col("c_custkey")
+    email = F.concat(F.lit("c"), key, F.when(key % 3 == 0, " at shop.al").otherwise("@shop.al"))
+    wish = F.when(key % 4 == 0, "0").when(key % 4 == 1, "-7.5").otherwise(F.concat(key, F.lit(".9 EUR")))
+    return table(spark, d, "customer").select(key.alias("id"), enrichment.alert_threshold(key.cast("string"), email, wish).alias("threshold"))
+
+
+@_("""SELECT DISTINCT l_quantity AS elapsed, round(95.0::DOUBLE * (1 - exp(-l_quantity / 24.0::DOUBLE)), 6) AS percent, greatest(0, 40 - l_quantity)::BIGINT AS remaining FROM lineitem""")
+def progress_estimate(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("elapsed")).distinct()
+    return rows.select("elapsed", F.round(enrichment.progress(F.col("elapsed"), F.lit(40.0)), 6).alias("percent"), enrichment.remaining(F.col("elapsed"), F.lit(40.0)).alias("remaining"))
+
+
+@_("""SELECT DISTINCT p_size AS seconds, CASE WHEN p_size * 7 >= 60 THEN (p_size * 7) // 60 || 'm ' || (p_size * 7) % 60 || 's' ELSE p_size * 7 || 's' END AS duration FROM part""")
+def duration_text(spark, d):
+    return table(spark, d, "part").select(F.col("p_size").alias("seconds")).distinct().select("seconds", enrichment.duration(F.col("seconds") * 7).alias("duration"))
+
+
+@_("SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pages")
+def page_titles(spark, d):
+    return enrichment.page_details(table(spark, d, "pages")).select("page_id", "title")
