@@ -178,7 +178,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of rows that repeat the id and text of the one that stays, one stays.
     """
-    found = settled(near_duplicates(docs, radius))
+    return keep_best(docs, settled(near_duplicates(docs, radius)))
+
+
+def keep_best(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stay where found has doc_id, text_hash and root for each."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     best = found.groupBy("root").agg(F.min(order).alias("b")).select("b.doc_id", "b.text_hash")
     kept = filter_docs(docs, best, "left_semi")
