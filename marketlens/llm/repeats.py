@@ -30,6 +30,8 @@ SKETCH_LOAD = 4
 SHARDS_BITS = 6
 #: Anchors that a task counts before it lets them go.
 SKETCH_FLUSH = 1 << 20
+#: Heavy anchors are summed from the flushes that have them this often.
+TASK_COUNT = 64
 
 _U = np.uint64
 _RADIX, _RADIX2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -188,8 +190,11 @@ def buckets(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
     return ((hashes if row == 0 else mixed(hashes + _U(row))) >> _U(64 - bits)).astype(np.uint32)
 
 
-def _counted(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """A partition sketch, sparse: by shard, the counters at 1 and those at 2 or more."""
+def _counted(hashes: np.ndarray, bits: int, heavy: int = 0) -> Iterator[pa.RecordBatch]:
+    """A partition sketch, sparse: by shard, the counters at 1 and those at 2 or more.
+
+    With heavy, also the anchors that may reach it over all partitions, with their counts, in shards behind those.
+    """
     cut, rows = bits - SHARDS_BITS, []
     for row in range(DEPTH):
         values, counts = np.unique(buckets(hashes, bits, row), return_counts=True)
@@ -198,15 +203,27 @@ def _counted(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
             own, often = values[bounds[shard] : bounds[shard + 1]] & np.uint32((1 << cut) - 1), counts[bounds[shard] : bounds[shard + 1]] > 1
             if len(own):
                 rows.append((row << SHARDS_BITS | shard, own[~often].tobytes(), own[often].tobytes()))
+    if heavy:
+        values, counts = np.unique(hashes, return_counts=True)
+        values, counts = values[counts >= max(1, min(TASK_COUNT, heavy // 16))], counts[counts >= max(1, min(TASK_COUNT, heavy // 16))]
+        shards = (mixed(values) >> _U(64 - SHARDS_BITS)).astype(np.int64)
+        rows += [((DEPTH << SHARDS_BITS) + k, values[shards == k].tobytes(), counts[shards == k].astype(np.int64).tobytes()) for k in np.unique(shards).tolist()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "once", "often"])
 
 
 def repeated_bitmap(docs: DataFrame, tokens: str, window: int, gram: int, bits: int) -> np.ndarray:
+    return repeated_and_heavy(docs, tokens, window, gram, bits, 0)[0]
+
+
+def repeated_and_heavy(docs: DataFrame, tokens: str, window: int, gram: int, bits: int, heavy: int) -> tuple[np.ndarray, np.ndarray]:
     """The merged count-min sketch as a bitmap for each row: bit b is set if counter b is 2 or more.
 
     Each task counts its anchors in a sketch of its own; the sketches are added
     shard by shard. Counters only overestimate, so a repeated window always has
     its bits set. The bitmaps have 64 MB together at most.
+
+    Second, sorted, the anchors counted ``heavy`` times or more (0: none). Counts
+    under TASK_COUNT in one flush of a task are left out of the sum.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,19 +233,27 @@ def repeated_bitmap(docs: DataFrame, tokens: str, window: int, gram: int, bits:
                 held.append(anchors(part, window, gram).hash)
                 size += len(held[-1])
                 if size >= SKETCH_FLUSH:
-                    yield from _counted(np.concatenate(held), bits)
+                    yield from _counted(np.concatenate(held), bits, heavy)
                     held, size = [], 0
         if size:
-            yield from _counted(np.concatenate(held), bits)
+            yield from _counted(np.concatenate(held), bits, heavy)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[int, np.ndarray] = {}
+        often_seen: dict[int, list] = {}
         for batch in batches:
             for shard, once, often in zip(batch.column("shard").to_pylist(), batch.column("once"), batch.column("often"), strict=True):
+                if shard >= DEPTH << SHARDS_BITS:
+                    often_seen.setdefault(shard, []).append((np.frombuffer(once.as_py(), _U), np.frombuffer(often.as_py(), np.int64)))
+                    continue
                 own = counters.setdefault(shard, np.zeros(1 << (bits - SHARDS_BITS), np.uint8))
                 one, two = np.frombuffer(once.as_py(), np.uint32), np.frombuffer(often.as_py(), np.uint32)
                 own[one] += own[one] < 2  # each value is in a partition's list once
                 own[two] = 2
+        for shard, lists in often_seen.items():
+            values, at = np.unique(np.concatenate([v for v, _ in lists]), return_inverse=True)
+            most = values[np.bincount(at, weights=np.concatenate([c for _, c in lists])) >= heavy]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([most.tobytes()], pa.binary())], names=["shard", "bits"])
         if counters:
             yield pa.RecordBatch.from_arrays([pa.array(list(counters), pa.int32()), pa.array([np.packbits(c >= 2).tobytes() for c in counters.values()], pa.binary())], names=["shard", "bits"])
 
@@ -236,9 +261,13 @@ def repeated_bitmap(docs: DataFrame, tokens: str, window: int, gram: int, bits:
     sketches = docs.select("text").mapInArrow(count, "shard int, once binary, often binary").repartition(tasks, "shard")
     merged = sketches.mapInArrow(merge, "shard int, bits binary").collect()  # a row a shard, 64 MB together at most
     out = np.zeros((DEPTH << SHARDS_BITS, 1 << (bits - SHARDS_BITS - 3)), np.uint8)
+    most = [np.zeros(0, _U)]
     for row in merged:
-        out[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(DEPTH, -1)
+        if row["shard"] < DEPTH << SHARDS_BITS:
+            out[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
+        else:
+            most.append(np.frombuffer(row["bits"], _U))
+    return out.reshape(DEPTH, -1), np.sort(np.concatenate(most))
 
 
 def is_repeated(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:

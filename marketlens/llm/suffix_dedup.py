@@ -6,6 +6,10 @@ only their blocks leave the task. Blocks meet by anchor. Of equal blocks the
 earliest goes on; the different blocks of an anchor are laid end to end, and
 their suffix array, built by linear grouping, brings equal windows together.
 All but the earliest of equal windows are marked.
+
+Where a passage stands in very many documents, the different blocks at its edges
+would gather at one anchor. Anchors of HEAVY occurrences or more therefore send
+single windows, which meet by their own hash in all shards.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ DOC_SHARD_BYTES = 8 << 20
 HELD_BYTES = 32 << 20
 #: Symbols in one suffix array, unless the blocks of one anchor have more.
 ARRAY_SYMBOLS = 1 << 15
+#: Occurrences from which the blocks of an anchor are taken apart into windows, and block bytes taken apart at once.
+HEAVY = 1 << 13
+HEAVY_BYTES = 1 << 20
 
 _NAMES = ["shard", "anchors", "digests", "doc_ids", "text_hashes", "starts", "sizes", "data", "marks_ids", "marks_hashes", "marks_starts", "marks_ends"]
 _BLOCKS = "shard long, " + ", ".join(f"{n} binary" for n in _NAMES[1:])
@@ -61,6 +68,15 @@ def blocks_of(part: Slice, found: Anchors, keep: np.ndarray, window: int) -> tup
     return low, high - low, repeats.span_hashes(part.codes, low, high, repeats._RADIX)
 
 
+def windows_of(data: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, offset in it, start in data, hash) of every window of blocks laid end to end."""
+    counts = sizes.astype(np.int64) - window + 1
+    block = np.repeat(np.arange(len(sizes)), counts)
+    offset = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = (np.cumsum(sizes, dtype=np.int64) - sizes)[block] + offset
+    return block, offset, start, repeats.span_hashes(repeats._BYTE_CODE[data], start, start + window, repeats._RADIX)
+
+
 def later_windows(blocks: list[bytes], places: list[int], window: int) -> Iterator[tuple[int, int]]:
     """(block, offset) of each window that also starts at an earlier place.
 
@@ -111,7 +127,7 @@ def _finish_digest(doc_id: int | None, text: bytes, starts: np.ndarray, ends: np
 _finish_digest.types = (*_finish.types[:4], pa.string())
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False, heavy: int = HEAVY) -> DataFrame:
     """Remove every byte inside a window-byte string that also starts earlier.
 
     Returns doc_id, n_bytes, n_removed, n_spans and kept (bytes, or kept_sha256).
@@ -120,11 +136,20 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest
     text is empty. Texts shorter than the window stay whole. Overlaps count, and
     strings are judged on the input. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     total = repeats.text_bytes(docs)
+    rows, compare, doc_shards = _passes(docs, total, window, gram, heavy)
+    marks = rows.groupBy("shard").applyInArrow(compare, repeats.MARKS)
+    last, kind = ("kept_sha256", "string") if digest else ("kept", "binary")
+    return repeats.apply_marks(docs, marks, doc_shards, _finish_digest if digest else _finish, ["doc_id", "n_bytes", "n_removed", "n_spans", last], f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+
+
+def _passes(docs: DataFrame, total: int, window: int, gram: int, heavy: int) -> tuple:
+    """The blocks that leave the tasks, what compares those of a shard, and the number of shards of documents."""
+    spark = docs.sparkSession
     bits = repeats.sketch_bits(total * 2 / (window - gram + 2))
     rows = repeats.keyed(docs)
-    bitmap = spark.sparkContext.broadcast(repeats.repeated_bitmap(rows, "bytes", window, gram, bits))
+    repeated, most = repeats.repeated_and_heavy(rows, "bytes", window, gram, bits, heavy)
+    bitmap, most = spark.sparkContext.broadcast(repeated), spark.sparkContext.broadcast(most)
     least = spark.sparkContext.defaultParallelism
     block_shards, doc_shards = repeats.shard_count(total, BLOCK_SHARD_BYTES, least), repeats.shard_count(total, DOC_SHARD_BYTES, 2 * least)
 
@@ -133,18 +158,38 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest
         data = np.concatenate([h[6] for h in held])
         at = np.cumsum(sizes, dtype=np.int64) - sizes
         first, later = _earliest_blocks(anchor, hashed, sizes, ids, hashes, starts)
+        marks = (ids[later], hashes[later], starts[later], starts[later] + sizes[later])
+        apart = np.isin(anchor[first], most.value)
+        yield sent((anchor, hashed, ids, hashes, starts, sizes), data, at, first[~apart], marks)
+        own = first[apart]  # sorted by anchor, so equal windows are near each other
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes[own], dtype=np.int64) // HEAVY_BYTES, prepend=-1, append=-1)).tolist() if len(own) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = own[a:b]
+            text = _gathered(data, at[part], sizes[part])
+            block, offset, start, value = windows_of(text, sizes[part], window)
+            block = part[block]
+            begin = (starts[block] + offset).astype(np.int32)
+            columns = (repeats.mixed(value), value, ids[block], hashes[block], begin, np.full(len(block), window, np.int32))
+            once, again = _earliest_blocks(*columns[:2], columns[5], *columns[2:5])
+            again = np.sort(again)
+            new = np.flatnonzero(np.concatenate(([True], (block[again][1:] != block[again][:-1]) | (np.diff(begin[again]) != 1)))) if len(again) else again
+            last = again[np.concatenate((new[1:] - 1, [len(again) - 1])).astype(np.int64)] if len(again) else again
+            new = again[new]
+            yield sent(columns, text, start, once, (ids[block[new]], hashes[block[new]], begin[new], begin[last] + np.int32(window)))
+
+    def sent(columns: tuple, data: np.ndarray, at: np.ndarray, first: np.ndarray, marks: tuple) -> pa.RecordBatch:
+        anchor, _, ids, hashes, starts, sizes = columns
         first = first[np.lexsort((starts[first], hashes[first], ids[first]))]
         keys = (repeats.mixed(anchor[first]) % np.uint64(block_shards)).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         first, keys = first[order], keys[order]
-        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))).tolist()
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))).tolist() if len(first) else []
         out = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             own, key = first[a:b], int(keys[a])
-            out.append((key, *(c[own].tobytes() for c in (anchor, hashed, ids, hashes, starts, sizes)), _gathered(data, at[own], sizes[own]).tobytes(), b"", b"", b"", b""))
-        marks = (ids[later], hashes[later], starts[later], starts[later] + sizes[later])
+            out.append((key, *(c[own].tobytes() for c in columns), _gathered(data, at[own], sizes[own]).tobytes(), b"", b"", b"", b""))
         out += [(k, *[b""] * 7, *c) for k, c in repeats.packed(repeats.shard_of(marks[0], marks[1], block_shards), block_shards, *marks)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[i] for r in out], pa.binary()) for i in range(1, 12)]], names=_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[i] for r in out], pa.binary()) for i in range(1, 12)]], names=_NAMES)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -200,6 +245,4 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest
             marks.append(marked(np.concatenate(held)))
         return pa.Table.from_batches([repeats.mark_rows(*(np.concatenate((o, *[m[i] for m in marks])) for i, o in enumerate(own)), doc_shards)])
 
-    marks = rows.mapInArrow(second_pass, _BLOCKS).groupBy("shard").applyInArrow(compare, repeats.MARKS)
-    last, kind = ("kept_sha256", "string") if digest else ("kept", "binary")
-    return repeats.apply_marks(docs, marks, doc_shards, _finish_digest if digest else _finish, ["doc_id", "n_bytes", "n_removed", "n_spans", last], f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+    return rows.mapInArrow(second_pass, _BLOCKS), compare, doc_shards
