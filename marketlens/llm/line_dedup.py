@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.common import broadcast_if_small, doc_key, same_doc, written
 
-#: Shorter lines are duplicates only if equal: one edit changes what they say.
-MIN_CHARS = 16
 SEGMENTS = 16
 #: Rows of 8 to 40 bytes up to which a set of keys is broadcast.
 BROADCAST_KEYS = 500_000
@@ -89,16 +87,21 @@ def near_lines(lines: DataFrame, texts: DataFrame, segments: int = SEGMENTS) ->
     variants = variants.join(_shared(variants, "variant"), "variant", "left_semi")
     # different lines with one variant differ in a character of it at most, so these groups stay small
     group = Window.partitionBy("variant")
-    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("place", "middle", "at"))).over(group)
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("place", "h1", "h2", "middle", "at"))).over(group)
     variants = variants.withColumns({"_replaced": least("replaced"), "_whole": least("whole"), "_deleted": least("deleted")})
     other = F.when(F.col("kind") == "replaced", F.col("_replaced")).when(F.col("kind") == "whole", F.col("_deleted")).otherwise(F.col("_whole"))
     pairs = variants.select("h1", "h2", "place", "middle", "at", other.alias("other")).filter("other.place < place")
-    # equal once each side's character is out: at most one edit, checked in one pass at any length
+    # equal once each side's character is out: what follows compares few whole lines
     pairs = pairs.filter(_without("middle", F.col("at")) == _without("other.middle", F.col("other.at")))
-    return pairs.groupBy("h1", "h2").agg(F.min("other.place").alias("best"))
+    pairs = written(pairs.groupBy("h1", "h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2")).agg(F.min("other.place").alias("best")), "pairs")
+    near = broadcast_if_small(pairs, pairs.count(), BROADCAST_KEYS)
+    both = chosen.select("h1", "h2", "line").join(near, ["h1", "h2"])
+    other = chosen.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
+    both = other.join(both, ["o1", "o2"]).filter(F.levenshtein("line", "other", 1) >= 0)
+    return both.groupBy("h1", "h2").agg(F.min("best").alias("best"))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = SEGMENTS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = 1, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, text_hash, dropped): line numbers that repeat an earlier line within one edit."""
     keyed = doc_key(docs)
     line = F.col("line")
@@ -120,19 +123,21 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = S
     return late.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = SEGMENTS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 1, segments: int = SEGMENTS) -> DataFrame:
     """Drop each line that equals, or is within one edit of, a line that starts earlier.
 
     Returns all columns of docs with text replaced by the lines kept, and
     n_lines (lines that are not empty) and n_removed. Documents are ordered by
     doc_id, null first, then by a hash of the text; rows equal in both count as
     one document. Lines are judged on the input, at any length. Empty lines
-    stay; lines under min_chars are dropped only for an equal one. A null text
+    stay. By default lines of every length are compared; a caller who gives
+    min_chars exempts shorter ones from the edit, which then go only for an equal
+    line. Columns of docs named n_lines or n_removed are replaced. A null text
     has no lines and stays null. An empty table gives no rows.
     """
     found = dropped_lines(docs, min_chars, segments)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # columns of docs may have any name
-    rows = docs.select("*").withColumnsRenamed(names)
+    rows = docs.toDF(*names.values())
     rows = rows.withColumns({"doc_id": F.col(names["doc_id"]), "text_hash": F.xxhash64(F.coalesce(F.col(names["text"]), F.lit("")))})
     rows = same_doc(rows, found, "left").withColumn("lines", F.split(names["text"], "\n"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
@@ -140,6 +145,6 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, segments: int = SEGM
     text = F.when(F.col("dropped").isNull(), F.col(names["text"])).otherwise(kept)
     n_lines = F.coalesce(F.size(F.filter("lines", lambda x: x != "")), F.lit(0)).cast("long")
     return rows.select(
-        *[(text if c == "text" else F.col(n)).alias(c) for c, n in names.items()],
+        *[(text if c == "text" else F.col(n)).alias(c) for c, n in names.items() if c.lower() not in ("n_lines", "n_removed")],
         F.when(F.col(names["text"]).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_removed"),
     )

@@ -128,7 +128,7 @@ WITH l AS (
 ), k AS (
   SELECT line, n, place, n - r AS m, unnest([
     'p' || left(line, (n - r) // 2), 's' || right(line, (n - r) - (n - r) // 2)
-  ]) AS half FROM u, (SELECT unnest([0, 1]) AS r) WHERE n >= 16
+  ]) AS half FROM u, (SELECT unnest([0, 1]) AS r)
 ), c AS (
   SELECT DISTINCT a.line AS a, b.line AS b, a.n AS an, b.n AS bn, b.place AS place
   FROM k a JOIN k b ON a.m = b.m AND a.half = b.half AND b.place < a.place AND abs(a.n - b.n) <= 1

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from marketlens.llm.components import components
@@ -17,15 +18,16 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "a", "b") for i, t in rows], SCHEMA).repartition(4)
 
 
-def alike(a, b):
-    """Equal, or for lines of 16 characters or more, one edit apart."""
-    if a == b or min(len(a), len(b)) < 16 or abs(len(a) - len(b)) > 1:
+def alike(a, b, least=1):
+    """Equal, or for lines of `least` characters or more, one edit apart."""
+    if a == b or min(len(a), len(b)) < least or abs(len(a) - len(b)) > 1:
         return a == b
     i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def test_lines_within_one_edit(spark):
+@pytest.mark.parametrize("least", [1, 16])
+def test_lines_within_one_edit(spark, least):
     rnd = random.Random(11)
     base = ["".join(rnd.choice("abé 𝄞") for _ in range(rnd.randint(3, 60))) for _ in range(60)]
     rows = []
@@ -42,7 +44,7 @@ def test_lines_within_one_edit(spark):
     for i, t in sorted(rows):
         kept, here = [], 0
         for line in (t or "").split("\n"):
-            near = line and any(alike(line, other) for other in seen)
+            near = line and any(alike(line, other, least) for other in seen)
             if line:
                 seen.append(line)
             if near:
@@ -50,11 +52,20 @@ def test_lines_within_one_edit(spark):
             else:
                 kept.append(line)
         expected[i] = (None if t is None else "\n".join(kept), here)
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(frame(spark, rows)).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(frame(spark, rows), least).collect()}
     assert got == expected
     assert line_dedup(frame(spark, rows)).columns == ["doc_id", "text", "lines", "text_hash", "n_lines", "n_removed"]
 
 
+def test_line_dedup_takes_columns_of_any_name(spark):
+    names = ["n_lines", "N_REMOVED", "_c0", "dropped", "doc_id", "line", "text", "text_hash", "pos"]
+    rows = [(7, "old", "x", 1, 1, "l", "one line here\none line herf", "h", 0), (8, None, None, None, 2, None, None, None, None)]
+    out = line_dedup(spark.createDataFrame(rows, "n_lines long, N_REMOVED string, _c0 string, dropped int, doc_id long, line string, text string, text_hash string, pos int"))
+    assert out.columns == [*(c for c in names if c.lower() not in ("n_lines", "n_removed")), "n_lines", "n_removed"]
+    got = {r.doc_id: (r.text, r._c0, r.pos, r.n_lines, r.n_removed) for r in out.collect()}
+    assert got == {1: ("one line here", "x", 0, 2, 1), 2: (None, None, None, 0, 0)}
+
+
 def test_line_dedup_of_repeated_rows_and_nothing(spark):
     text = "one line that is long enough\nanother line that is long enough"
     got = [(r.doc_id, r.n_removed) for r in line_dedup(frame(spark, [(1, text), (1, text), (2, text)])).collect()]
