@@ -190,13 +190,13 @@ def buckets(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
     return ((hashes if row == 0 else mixed(hashes + _U(row))) >> _U(64 - bits)).astype(np.uint32)
 
 
-def _counted(hashes: np.ndarray, bits: int, heavy: int = 0) -> Iterator[pa.RecordBatch]:
+def _counted(hashes: np.ndarray, bits: int, heavy: int, depth: int) -> Iterator[pa.RecordBatch]:
     """A partition sketch, sparse: by shard, the counters at 1 and those at 2 or more.
 
-    With heavy, also the anchors that may reach it over all partitions, with their counts, in shards behind those.
+    With heavy, also the hashes that may reach it over all partitions, with their counts, in shards behind those.
     """
     cut, rows = bits - SHARDS_BITS, []
-    for row in range(DEPTH):
+    for row in range(depth):
         values, counts = np.unique(buckets(hashes, bits, row), return_counts=True)
         bounds = np.searchsorted(values, np.arange((1 << SHARDS_BITS) + 1, dtype=np.uint64) << np.uint64(cut))
         for shard in range(1 << SHARDS_BITS):
@@ -205,9 +205,10 @@ def _counted(hashes: np.ndarray, bits: int, heavy: int = 0) -> Iterator[pa.Recor
                 rows.append((row << SHARDS_BITS | shard, own[~often].tobytes(), own[often].tobytes()))
     if heavy:
         values, counts = np.unique(hashes, return_counts=True)
-        values, counts = values[counts >= max(1, min(TASK_COUNT, heavy // 16))], counts[counts >= max(1, min(TASK_COUNT, heavy // 16))]
+        many = counts >= max(1, min(TASK_COUNT, heavy // 16))
+        values, counts = values[many], counts[many]
         shards = (mixed(values) >> _U(64 - SHARDS_BITS)).astype(np.int64)
-        rows += [((DEPTH << SHARDS_BITS) + k, values[shards == k].tobytes(), counts[shards == k].astype(np.int64).tobytes()) for k in np.unique(shards).tolist()]
+        rows += [((depth << SHARDS_BITS) + k, values[shards == k].tobytes(), counts[shards == k].astype(np.int64).tobytes()) for k in np.unique(shards).tolist()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "once", "often"])
 
 
@@ -216,34 +217,41 @@ def repeated_bitmap(docs: DataFrame, tokens: str, window: int, gram: int, bits:
 
 
 def repeated_and_heavy(docs: DataFrame, tokens: str, window: int, gram: int, bits: int, heavy: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketch of the anchors of all windows, and those that occur ``heavy`` times or more; see ``sketched``."""
+    bitmap, most, _ = sketched(docs, tokens, lambda part: anchors(part, window, gram).hash, bits, heavy)
+    return bitmap, most
+
+
+def sketched(docs: DataFrame, tokens: str, hashes_of: Callable[[Slice], np.ndarray], bits: int, heavy: int, depth: int = DEPTH, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The merged count-min sketch as a bitmap for each row: bit b is set if counter b is 2 or more.
 
-    Each task counts its anchors in a sketch of its own; the sketches are added
-    shard by shard. Counters only overestimate, so a repeated window always has
-    its bits set. The bitmaps have 64 MB together at most.
+    Each task counts the hashes of its slices in a sketch of its own; the
+    sketches are added shard by shard. Counters only overestimate, so what is
+    repeated always has its bits set. The bitmaps have 64 MB together at most.
 
-    Second, sorted, the anchors counted ``heavy`` times or more (0: none). Counts
-    under TASK_COUNT in one flush of a task are left out of the sum.
+    Second and third, sorted, the hashes counted ``heavy`` times or more (0: none)
+    and their counts. Counts under TASK_COUNT in one flush of a task are left out
+    of the sum.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, tokens):
-                held.append(anchors(part, window, gram).hash)
+            for part in slices(batch, tokens, fold=fold):
+                held.append(hashes_of(part))
                 size += len(held[-1])
                 if size >= SKETCH_FLUSH:
-                    yield from _counted(np.concatenate(held), bits, heavy)
+                    yield from _counted(np.concatenate(held), bits, heavy, depth)
                     held, size = [], 0
         if size:
-            yield from _counted(np.concatenate(held), bits, heavy)
+            yield from _counted(np.concatenate(held), bits, heavy, depth)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[int, np.ndarray] = {}
         often_seen: dict[int, list] = {}
         for batch in batches:
             for shard, once, often in zip(batch.column("shard").to_pylist(), batch.column("once"), batch.column("often"), strict=True):
-                if shard >= DEPTH << SHARDS_BITS:
+                if shard >= depth << SHARDS_BITS:
                     often_seen.setdefault(shard, []).append((np.frombuffer(once.as_py(), _U), np.frombuffer(often.as_py(), np.int64)))
                     continue
                 own = counters.setdefault(shard, np.zeros(1 << (bits - SHARDS_BITS), np.uint8))
@@ -252,28 +260,31 @@ def repeated_and_heavy(docs: DataFrame, tokens: str, window: int, gram: int, bit
                 own[two] = 2
         for shard, lists in often_seen.items():
             values, at = np.unique(np.concatenate([v for v, _ in lists]), return_inverse=True)
-            most = values[np.bincount(at, weights=np.concatenate([c for _, c in lists])) >= heavy]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([most.tobytes()], pa.binary())], names=["shard", "bits"])
-        if counters:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counters), pa.int32()), pa.array([np.packbits(c >= 2).tobytes() for c in counters.values()], pa.binary())], names=["shard", "bits"])
+            sums = np.bincount(at, weights=np.concatenate([c for _, c in lists])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([values[sums >= heavy].tobytes()], pa.binary()), pa.array([sums[sums >= heavy].tobytes()], pa.binary())], names=["shard", "bits", "counts"])
+        for shard, own in counters.items():
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(own >= 2).tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=["shard", "bits", "counts"])
 
-    tasks = min(DEPTH << SHARDS_BITS, max(8, 1 << max(0, bits - 20)))  # counters in a task stay within some MB
+    tasks = min(depth << SHARDS_BITS, max(8, 1 << max(0, bits - 20)))  # counters in a task stay within some MB
     sketches = docs.select("text").mapInArrow(count, "shard int, once binary, often binary").repartition(tasks, "shard")
-    merged = sketches.mapInArrow(merge, "shard int, bits binary").collect()  # a row a shard, 64 MB together at most
-    out = np.zeros((DEPTH << SHARDS_BITS, 1 << (bits - SHARDS_BITS - 3)), np.uint8)
-    most = [np.zeros(0, _U)]
+    merged = sketches.mapInArrow(merge, "shard int, bits binary, counts binary").collect()  # a row a shard, 64 MB together at most
+    out = np.zeros((depth << SHARDS_BITS, 1 << (bits - SHARDS_BITS - 3)), np.uint8)
+    most, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for row in merged:
-        if row["shard"] < DEPTH << SHARDS_BITS:
+        if row["shard"] < depth << SHARDS_BITS:
             out[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
         else:
             most.append(np.frombuffer(row["bits"], _U))
-    return out.reshape(DEPTH, -1), np.sort(np.concatenate(most))
+            counts.append(np.frombuffer(row["counts"], np.int64))
+    values = np.concatenate(most)
+    order = np.argsort(values)
+    return out.reshape(depth, -1), values[order], np.concatenate(counts)[order]
 
 
 def is_repeated(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     """Which anchors have an estimated count of 2 or more: the least counter over the rows."""
     out = np.ones(len(hashes), bool)
-    for row in range(DEPTH):
+    for row in range(len(bitmap)):
         bucket = buckets(hashes, bits, row).astype(np.int64)
         out &= (bitmap[row, bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
     return out
