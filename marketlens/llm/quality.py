@@ -1,11 +1,12 @@
 """Quality classification by co-training.
 
-Two classifiers see different views of a document: one shapes of its text, one
-its metadata (source, language, length). Both start from the labels. In each
-round either one labels, for the other, the unlabelled documents it is sure of.
-In the end each view's score is calibrated on the labels, and the two are added
-as log odds. Both are naive Bayes models over binned features, so a round is
-one aggregation over compact feature rows, whatever the number of documents.
+Two classifiers see different views of a document: one its text (the shapes of
+it, and which hashed words it has), one its metadata (source, language, length).
+Both start from the labels. In each round either one labels, for the other, the
+unlabelled documents it is sure of. In the end each view's score is calibrated
+on labels that it was not fitted to, and the two are added as log odds. Both are
+naive Bayes models over numbered features, so a round is one aggregation over
+compact feature rows, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -26,13 +27,19 @@ ROUNDS = 3
 CONFIDENT = 0.95
 #: Bins of one text feature.
 BINS = 12
+#: Slots of hashed words; a document has a bit for each.
+WORD_SLOTS = 4096
+#: A word slot counts beyond as many standard deviations of what chance explains.
+DEVIATIONS = 3.0
+#: Share of the labels, in fifths, that calibrates and is not fitted to.
+CALIBRATION = 1
 SOURCE_SLOTS, LANG_SLOTS, LENGTH_SLOTS = 1024, 64, 40
 #: Bins of a view's log odds, 1 wide, around 0.
 CALIBRATION_BINS = 41
 SMOOTHING = 1.0
 THRESHOLD = 0.5
 
-TEXT_FEATURES = ("upper", "digit", "mark", "symbol", "space", "line", "other", "distinct", "repeat", "word", "ends", "length")
+TEXT_FEATURES = ("upper", "digit", "mark", "symbol", "space", "line", "other", "distinct", "repeat", "word", "ends")
 _CLASS = np.zeros(256, np.uint8)  # 0: lower-case letters and bytes above ASCII
 _CLASS[65:91] = 1
 _CLASS[48:58] = 2
@@ -41,7 +48,9 @@ _CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and c not in (33, 34,
 _CLASS[[32, 9]] = 5
 _CLASS[[10, 13]] = 6
 _CLASS[[c for c in range(0, 32) if c not in (9, 10, 13)] + [127]] = 7
-_SCHEMA = "doc_id long, text_hash long, features array<int>"
+_FOLD = np.arange(256, dtype=np.uint8)  # words of content: letters lowered, marks and digits between words
+_FOLD[65:91] += 32
+_FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 
 def _binned(share: np.ndarray) -> np.ndarray:
@@ -70,40 +79,86 @@ def text_features(part: repeats.Slice) -> np.ndarray:
         _binned(kinds[:, 5] / length), _binned(kinds[:, 6] / length), _binned(kinds[:, 7] / length),
         np.minimum(distinct * 10 // many, BINS - 1), _binned(np.bincount(owner[again], minlength=n) / many),
         np.minimum((kinds[:, :5].sum(axis=1) / many), BINS - 1).astype(np.int32), np.minimum(np.bincount(owner[_CLASS[last] == 3], minlength=n) * 20 // many, BINS - 1),
-        np.minimum(np.log2(words + 1) * 0.75, BINS - 1).astype(np.int32),
     ]
     return np.stack([c.astype(np.int32) + i * BINS for i, c in enumerate(columns)], axis=1)
 
 
+def word_bits(part: repeats.Slice) -> np.ndarray:
+    """A row of WORD_SLOTS bits, packed, for each document of a slice of content words."""
+    bits = np.zeros((len(part.rows), WORD_SLOTS), bool)
+    bits[np.repeat(np.arange(len(part.rows)), np.diff(part.first)), (repeats.mixed(part.codes) % np.uint64(WORD_SLOTS)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [text_features(p) for p in repeats.slices(batch, "words")]
         table = np.concatenate(parts) if parts else np.zeros((0, len(TEXT_FEATURES)), np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, len(TEXT_FEATURES)), pa.int32()), pa.array(table.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), lists, *(batch.column(c) for c in ("source", "lang", "n_chars"))], names=["doc_id", "text_hash", "text", "source", "lang", "n_chars"])
+        words = [row.tobytes() for p in repeats.slices(batch, "words", fold=_FOLD) for row in word_bits(p)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), lists, pa.array(words, pa.binary()), *(batch.column(c) for c in ("source", "lang", "n_chars"))], names=["doc_id", "text_hash", "text", "words", "source", "lang", "n_chars"])
 
 
 def views(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, text and meta: the feature numbers of each view."""
+    """doc_id, text_hash, text, words and meta: the features of each view."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    found = rows.mapInArrow(_features, "doc_id long, text_hash long, text array<int>, source string, lang string, n_chars long")
+    found = rows.mapInArrow(_features, "doc_id long, text_hash long, text array<int>, words binary, source string, lang string, n_chars long")
     slot = lambda c, n: F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(n - 1)).cast("int") + 1)
     length = F.when(F.col("n_chars").isNull(), 0).otherwise(F.least(F.floor(F.log2(F.greatest(F.col("n_chars"), F.lit(0)) + 1)).cast("int") + 1, F.lit(LENGTH_SLOTS - 1)))
     meta = F.array(slot("source", SOURCE_SLOTS), slot("lang", LANG_SLOTS) + SOURCE_SLOTS, length + SOURCE_SLOTS + LANG_SLOTS)
-    return found.select("doc_id", "text_hash", "text", meta.cast("array<int>").alias("meta"))
+    return found.select("doc_id", "text_hash", "text", "words", meta.cast("array<int>").alias("meta"))
+
+
+SHAPES = len(TEXT_FEATURES) * BINS
+WIDTH = {"text": SHAPES + WORD_SLOTS, "meta": SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS}
 
 
-WIDTH = {"text": len(TEXT_FEATURES) * BINS, "meta": SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS}
+def _text_matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Shape features and word bits of each row."""
+    shapes = batch.column("text").flatten().to_numpy().reshape(batch.num_rows, -1)
+    words = np.unpackbits(np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+    return shapes, words
+
+
+def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, y, n): the sums of a task, the number of rows last."""
+    counts = np.zeros((2, WIDTH["text"] + 1), np.int64)
+    for batch in batches:
+        y = batch.column("y").to_numpy()
+        shapes, words = _text_matrix(batch)
+        for c in (0, 1):
+            own = y == c
+            counts[c, :SHAPES] += np.bincount(shapes[own].reshape(-1), minlength=SHAPES)
+            counts[c, SHAPES:-1] += words[own].sum(axis=0, dtype=np.int64)
+            counts[c, -1] += int(own.sum())
+    y, f = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(counts[y, f])], names=["f", "y", "n"])
 
 
 def fit_view(rows: DataFrame, view: str, label: Column) -> list[float]:
     """Log odds by feature number, the prior last: one aggregation, at most two rows a feature reach the driver."""
-    seen = rows.select(F.explode(F.concat(view, F.array(F.lit(WIDTH[view])))).alias("f"), label.alias("y")).filter("y is not null")
+    rows = rows.withColumn("y", label).filter("y is not null")
+    if view == "text":
+        seen = rows.select("text", "words", F.col("y").cast("int").alias("y")).mapInArrow(_text_counts, "f int, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n"))
+    else:
+        seen = rows.select(F.explode(F.concat(view, F.array(F.lit(WIDTH[view])))).alias("f"), "y").groupBy("f", "y").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros((WIDTH[view] + 1, 2))
-    for r in seen.groupBy("f", "y").count().collect():
-        counts[r["f"], r["y"]] = r["count"]
+    for r in seen.collect():
+        counts[r["f"], r["y"]] = r["n"]
+    return feature_odds(counts, SHAPES if view == "text" else WIDTH[view])
+
+
+def feature_odds(counts: np.ndarray, plain: int) -> list[float]:
+    """Log odds of counts by feature and class; features from ``plain`` on count only where chance does not explain them."""
     totals = counts[-1] + SMOOTHING
     odds = np.log((counts[:, 1] + SMOOTHING) / (totals[1] + SMOOTHING)) - np.log((counts[:, 0] + SMOOTHING) / (totals[0] + SMOOTHING))
+    words = counts[plain:-1]
+    if words.size:  # shares of all words of a class, so that the length of documents says nothing here
+        every = words.sum(axis=0) + SMOOTHING * len(words)
+        share = every[1] / every.sum()
+        expected = words.sum(axis=1) * share
+        beyond = np.abs(words[:, 1] - expected) > DEVIATIONS * np.sqrt(expected * (1 - share) + 0.5)
+        odds[plain:-1] = np.where(beyond, np.log((words[:, 1] + SMOOTHING) / every[1]) - np.log((words[:, 0] + SMOOTHING) / every[0]), 0.0)
     odds[-1] = np.log(totals[1] / totals[0])
     return odds.tolist()
 
@@ -113,6 +168,22 @@ def log_odds(view: str, weights: list[float]) -> Column:
     return F.aggregate(view, F.lit(weights[-1]), lambda total, f: total + F.get(table, f))
 
 
+def with_text_odds(rows: DataFrame, weights: list[float]) -> DataFrame:
+    """Rows with text_odds, the log odds of the text view."""
+    names = [c for c in rows.columns if c not in ("text", "words")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.array(weights)
+        for batch in batches:
+            shapes, words = _text_matrix(batch)
+            content = words @ own[SHAPES:-1] / np.sqrt(1.0 + words @ (own[SHAPES:-1] != 0))  # words of one text are not independent
+            odds = own[-1] + own[shapes].sum(axis=1) + content
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(odds)], names=[*names, "text_odds"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in names) + ", text_odds double"
+    return rows.mapInArrow(run, schema)
+
+
 def calibration(rows: DataFrame, score: Column) -> list[float]:
     """For each bin of a view's log odds the log odds observed on the labels, never falling from bin to bin."""
     counts = np.zeros((CALIBRATION_BINS, 2))
@@ -143,30 +214,42 @@ def scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident:
     labels: doc_id, label (1 good, 0 bad; others ignored; of several for one id
     the lowest). Null texts count as empty; null metadata are values of their
     own; columns that docs lack count as null. Without labels of both classes
-    every score is 1, so nothing is rejected. An empty table gives no rows.
+    every score is 1, so nothing is rejected; where the labels kept apart lack a
+    class, all labels fit and calibrate. Rows that repeat id and text have one
+    score. An empty table gives no rows.
     """
     for name, kind in (("source", "string"), ("lang", "string"), ("n_chars", "long")):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
     known = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l")).agg(F.min("label").cast("int").alias("label"))
     rows = views(docs)
-    rows = written(rows.join(known, rows["doc_id"] == known["l"], "left").drop("l"), "views")
+    rows = rows.join(known, rows["doc_id"] == known["l"], "left").drop("l")
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)).cast("int")), "views")
     classes = {r[0] for r in rows.filter("label is not null").select("label").distinct().collect()}
     if len(classes) < 2:
         return rows.select("doc_id", "text_hash", F.lit(1.0).alias("score"))
+    fitted = F.when(F.col("part") >= CALIBRATION, F.col("label"))
+    held = rows.filter(F.col("label").isNotNull() & (F.col("part") < CALIBRATION))
+    if {r[0] for r in held.select("label").distinct().collect()} != classes or {r[0] for r in rows.select(fitted.alias("y")).filter("y is not null").distinct().collect()} != classes:
+        fitted, held = F.col("label"), rows.filter("label is not null")  # too few labels to keep some apart
     sure = float(np.log(confident / (1 - confident)))
-    label = {view: F.col("label") for view in WIDTH}
-    score = {}
+    given = lambda score: F.when(score >= sure, 1).when(score <= -sure, 0)
+    labelled = F.when(F.col("label").isNotNull(), fitted)
+    text_label = meta_label = labelled
+    scored = rows
     for _ in range(rounds):
-        for view in WIDTH:
-            raw = log_odds(view, fit_view(rows, view, label[view]))
-            score[view] = _calibrated(raw, calibration(rows, raw))
-        for view, other in (("text", "meta"), ("meta", "text")):
-            given = F.when(score[other] >= sure, 1).when(score[other] <= -sure, 0)
-            label[view] = F.coalesce(F.col("label"), given)
-    n = {r["label"]: r["count"] for r in rows.filter("label is not null").groupBy("label").count().collect()}
-    total = score["text"] + score["meta"] - float(np.log(n[1] / n[0]))
-    return rows.select("doc_id", "text_hash", (1 / (1 + F.exp(-total))).alias("score"))
+        weights = fit_view(rows, "text", text_label)
+        odds = log_odds("meta", fit_view(scored, "meta", meta_label))
+        scored = with_text_odds(rows, weights)
+        own = with_text_odds(held, weights)
+        text = _calibrated(F.col("text_odds"), calibration(own, F.col("text_odds")))
+        meta = _calibrated(odds, calibration(held, odds))
+        # labels stay as they are, also those kept apart; each view labels the rest for the other
+        text_label = F.when(F.col("label").isNotNull(), fitted).otherwise(given(meta))
+        meta_label = F.when(F.col("label").isNotNull(), fitted).otherwise(given(text))
+    n = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}
+    total = text + meta - float(np.log(n[1] / n[0]))
+    return scored.select("doc_id", "text_hash", (1 / (1 + F.exp(-total))).alias("score"))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,5 +260,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, columns unchanged."""
+    """The documents whose score reaches the threshold, columns unchanged.
+
+    Nulls, empty texts, repeated rows and missing labels or metadata are as in
+    ``scores``; without labels of both classes all documents stay.
+    """
     return filter_docs(docs, scores(docs, labels).filter(F.col("score") < threshold), "left_anti")
