@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, the separator of words: space, tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+from marketlens.sources.shared import settled, shared_dir
 
+__all__ = ["settled", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: ASCII white space, the separator of words: space, tab to carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -26,12 +20,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: later plans start there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast hint only while the counted rows stay within ``most``; else Spark shuffles."""
     return F.broadcast(df) if rows <= most else df

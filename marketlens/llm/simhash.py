@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import doc_key, filter_docs, settled
-from marketlens.llm.components import components
+from marketlens.operators.components import components, join_hot
 
 SHINGLE = 4
 SEED = 42
@@ -166,11 +166,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     returned. An empty table gives no rows.
     """
     found = settled(fingerprints(docs))
-    reps = settled(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = settled(components(near_links(reps.select("fp"), radius)))
-    joined = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return found.join(joined.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    reps = settled(found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    roots = components(near_links(reps.select("fp"), radius))
+    joined = settled(reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")))
+    named = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    joined = settled(join_hot(joined, named, "root", "m", joined.count()).select("fp", "root", "component_id", "n"))
+    return join_hot(found, joined, "fp", "n", found.count()).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

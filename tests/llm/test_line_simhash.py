@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from marketlens.llm.components import components
+from marketlens.operators.components import components
 from marketlens.llm.line_dedup import line_dedup
 from marketlens.llm.simhash import BkTree, fingerprint, keep_one, near_duplicates, near_links
 
