@@ -472,7 +472,7 @@ def colour_token(spark, d):
     return _names(spark, d).select("id", T.colour(F.col("name")).alias("colour"))
 
 
-MATCH = NAMES + """, q AS (SELECT min(id) AS query_id, brand, name AS query FROM names WHERE id % 4 = 0 GROUP BY brand, name), c AS (SELECT min(id) AS candidate_id, brand, name FROM names GROUP BY brand, name),
+MATCH = NAMES + """, q AS (SELECT min(id) AS query_id, brand, name AS query FROM names GROUP BY brand, name), c AS (SELECT min(id) AS candidate_id, brand, name FROM names GROUP BY brand, name),
 p AS (SELECT query_id, candidate_id, list_filter(string_split(lower(query), ' '), lambda w: length(w) > 1) AS qw, list_filter(string_split(lower(name), ' '), lambda w: length(w) > 1) AS nw, lower(query) AS ql, lower(name) AS nl
   FROM q JOIN c USING (brand)),
 s AS (SELECT query_id, candidate_id, qw, nw, ql, nl, len(list_filter(qw, lambda w: contains(nl, w))) AS hits,
@@ -486,15 +486,13 @@ t AS (SELECT query_id, candidate_id, hits * (hits / (hits + extra * 0.4::DOUBLE)
 
 def _match_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     names = _names(spark, d)
-    queries = names.filter("id % 4 = 0").groupBy("brand", F.col("name").alias("query")).agg(F.min("id").alias("query_id"))
+    queries = names.groupBy("brand", F.col("name").alias("query")).agg(F.min("id").alias("query_id"))
     return queries, names.groupBy("brand", "name").agg(F.min("id").alias("candidate_id"))
 
 
 @_(f"WITH {MATCH} SELECT query_id, candidate_id, round(score, 6) AS score FROM t WHERE score > 0")
 def match_score(spark, d):
-    queries, candidates = _match_sides(spark, d)
-    scored = queries.join(candidates, "brand").withColumn("score", matching.strict_score(F.col("query"), F.col("name"))).filter("score > 0")
-    return scored.select("query_id", "candidate_id", F.round("score", 6).alias("score"))
+    return matching.scored_pairs(*_match_sides(spark, d), "brand").select("query_id", "candidate_id", F.round("score", 6).alias("score"))
 
 
 @_(f"WITH {MATCH}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS n FROM t WHERE score > 0) SELECT query_id, candidate_id, round(score, 6) AS score FROM r WHERE n = 1")
