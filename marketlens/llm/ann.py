@@ -5,7 +5,9 @@ In a tile, unit vectors are quantised to int8 and multiplied as matrices. With
 steps s and t, the product differs from the cosine by at most
 (s * |v'|_1 + t * |v|_1) / 2. Pairs whose upper bound reaches the k-th best
 lower bound are computed again in double precision and kept in a heap per
-query; the heaps of the tiles are merged by a window.
+query; the heaps of the tiles are merged by a window. A tile holds as many rows
+a side as fit its bytes, so a vector is copied once for each block of the other
+side.
 """
 
 from __future__ import annotations
@@ -17,10 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2_048
-CANDIDATE_BLOCK = 4_096
-#: Candidates multiplied at once.
+from marketlens.llm.common import written
+
+#: Bytes of the vectors of one side of a tile, as doubles; more rows a block mean fewer copies of each vector.
+BLOCK_BYTES = 32 << 20
+#: Rows in a block at least.
+LEAST_BLOCK = 1_024
+#: Queries and candidates multiplied at once.
 TILE = 1_024
+#: Components of which products of int8 sum up exactly in float32; longer rows are multiplied in double.
+EXACT_SIZE = 1_000
 #: Room for rounding in the bounds themselves.
 SLACK = 1e-6
 
@@ -38,69 +46,99 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, step, np.abs(q.astype(np.float64)).sum(axis=1) * step
 
 
-def tile_search(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, candidates: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """For each query its k best (cosine, -id) among the candidates with another id."""
+def tile_search(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, candidates: np.ndarray, k: int, own: np.ndarray | None = None) -> list[list[tuple[float, int, int]]]:
+    """For each query its k best (cosine, -id, -position) among the candidates.
+
+    own: for each query the position of its row among the candidates, -1 if it is not there.
+    """
     q_norm, c_norm = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((candidates * candidates).sum(axis=1))
     q_unit, c_unit = queries / q_norm[:, None], candidates / c_norm[:, None]
+    exact = np.float32 if queries.shape[1] <= EXACT_SIZE else np.float64
     q8, q_step, _ = quantised(q_unit)
     c8, c_step, c_sum = quantised(c_unit)
     q_sum = np.abs(q_unit).sum(axis=1)
-    q8 = q8.astype(np.float32)  # products of int8 rows of up to 1,000 components are exact in float32
-    heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-    for at in range(0, len(c_ids), TILE):
-        own = slice(at, at + TILE)
-        near = (q8 @ c8[own].T.astype(np.float32)).astype(np.float64) * q_step[:, None] * c_step[own][None, :]
-        error = (q_sum[:, None] * c_step[own][None, :] + q_step[:, None] * c_sum[own][None, :]) / 2 + SLACK
-        near[q_ids[:, None] == c_ids[own][None, :]] = -np.inf
-        lower = near - error
-        worst = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] >= k else np.full(len(q_ids), -np.inf)
-        worst = np.maximum(worst, [h[0][0] if len(h) == k else -np.inf for h in heaps])
-        keep = (near + error >= worst[:, None]) & np.isfinite(near)
-        for i in np.flatnonzero(keep.any(axis=1)).tolist():
-            j = np.flatnonzero(keep[i]) + at
-            score = (candidates[j] * queries[i]).sum(axis=1) / (q_norm[i] * c_norm[j])
-            best = np.lexsort((c_ids[j], -score))[:k]
-            for s, c in zip(score[best].tolist(), c_ids[j[best]].tolist(), strict=True):
-                if len(heaps[i]) < k:
-                    heapq.heappush(heaps[i], (s, -c))
-                else:
-                    heapq.heappushpop(heaps[i], (s, -c))
+    heaps: list[list[tuple[float, int, int]]] = [[] for _ in q_ids]
+    for from_ in range(0, len(q_ids), TILE):
+        rows = slice(from_, from_ + TILE)
+        left = q8[rows].astype(exact)
+        for at in range(0, len(c_ids), TILE):
+            cols = slice(at, at + TILE)
+            near = (left @ c8[cols].T.astype(exact)).astype(np.float64) * q_step[rows, None] * c_step[cols][None, :]
+            error = (q_sum[rows, None] * c_step[cols][None, :] + q_step[rows, None] * c_sum[cols][None, :]) / 2 + SLACK
+            if own is not None:
+                mine = np.flatnonzero((own[rows] >= at) & (own[rows] < at + TILE))
+                near[mine, own[rows][mine] - at] = -np.inf
+            lower = near - error
+            worst = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] >= k else np.full(len(left), -np.inf)
+            worst = np.maximum(worst, [h[0][0] if len(h) == k else -np.inf for h in heaps[rows]])
+            keep = (near + error >= worst[:, None]) & np.isfinite(near)
+            for i in np.flatnonzero(keep.any(axis=1)).tolist():
+                j, q = np.flatnonzero(keep[i]) + at, from_ + i
+                score = (candidates[j] * queries[q]).sum(axis=1) / (q_norm[q] * c_norm[j])
+                best = np.lexsort((c_ids[j], -score))[:k]
+                for s, c, p in zip(score[best].tolist(), c_ids[j[best]].tolist(), j[best].tolist(), strict=True):
+                    if len(heaps[q]) < k:
+                        heapq.heappush(heaps[q], (s, -c, -p))
+                    else:
+                        heapq.heappushpop(heaps[q], (s, -c, -p))
     return heaps
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Distinct rows with an id and a vector that is not zero and has only finite components."""
+    """vec_id, embedding and copies of the rows with an id and a vector that is not zero and has only finite components."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & v.isNotNull() & fine).distinct()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
+    return rows.groupBy("vec_id", "embedding").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, block_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest cosine for each query row.
 
-    is_query: a condition on vec_id. Candidates are all usable rows with another
-    id; ties go to the smaller id. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor do rows without an id; rows that
-    repeat id and vector count once. Vectors meet only those of their length.
-    Every pair is bounded and no pair that could matter is dropped.
+    is_query: a condition on vec_id. Candidates of a query row are all usable
+    rows but itself: rows that share its id count, and so does each further copy
+    of a row, as often as it is there. Ties go to the smaller id; with fewer than
+    k candidates all are returned. Vectors that are null, zero, or hold null or
+    non-finite components take no part, nor do rows without an id. Vectors meet
+    only those of their length. Every pair is bounded and no pair that could
+    matter is dropped. An empty table gives no rows.
+
+    block_rows: rows in one side of a tile; by default as many as BLOCK_BYTES hold.
     """
-    rows = usable(vectors).withColumn("size", F.size("embedding")).withColumn("h", F.xxhash64("vec_id", "embedding"))
+    spark = vectors.sparkSession
+    rows = written(usable(vectors).withColumn("size", F.size("embedding")).withColumn("h", F.xxhash64("vec_id", "embedding")), "vectors")
     queries = rows.filter(is_query)
-    n, m = rows.count(), queries.count()
-    q_blocks, c_blocks = max(1, -(-m // query_block)), max(1, -(-n // candidate_block))
+    n, m, size = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max("size")).first()
+    most = block_rows or max(LEAST_BLOCK, BLOCK_BYTES // (8 * max(1, size or 1)))
+    q_blocks = max(1, -(-m // most))
+    c_blocks = max(1, -(-n // most), min(-(-2 * spark.sparkContext.defaultParallelism // q_blocks), n // LEAST_BLOCK))
     numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = queries.withColumns({"qb": F.pmod("h", F.lit(q_blocks)).cast("int"), "cb": numbers(c_blocks)})
     right = rows.withColumns({"cb": F.pmod("h", F.lit(c_blocks)).cast("int"), "qb": numbers(q_blocks)})
-    names = ["query_id", "query_row", "vec_id", "score"]
+    names, types = ["query_id", "query_row", "query_copies", "vec_id", "copies", "score"], [pa.int64()] * 5 + [pa.float64()]
 
     def tile(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not len(q) or not len(c):
-            return pa.table({"query_id": pa.array([], pa.int64()), "query_row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q_ids, c_ids = q.column("vec_id").to_numpy(), c.column("vec_id").to_numpy()
-        found = tile_search(q_ids, matrix(q.column("embedding")), c_ids, matrix(c.column("embedding")), k)
-        flat = [(i, row, -c, s) for i, row, heap in zip(q_ids.tolist(), q.column("h").to_pylist(), found, strict=True) for s, c in heap]
-        return pa.Table.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=names)
-
-    tiles = left.groupBy("size", "qb", "cb").cogroup(right.groupBy("size", "qb", "cb")).applyInArrow(tile, "query_id long, query_row long, vec_id long, score double")
+        flat = []
+        if len(q) and len(c):
+            q_ids, c_ids = q.column("vec_id").to_numpy(), c.column("vec_id").to_numpy()
+            q_vectors, c_vectors = matrix(q.column("embedding")), matrix(c.column("embedding"))
+            copies, place = c.column("copies").to_pylist(), {}
+            for j, key in enumerate(zip(c_ids.tolist(), c.column("h").to_pylist(), strict=True)):
+                place.setdefault(key, []).append(j)
+            own = np.full(len(q_ids), -1)
+            for i, key in enumerate(zip(q_ids.tolist(), q.column("h").to_pylist(), strict=True)):
+                same = [j for j in place.get(key, ()) if np.array_equal(c_vectors[j], q_vectors[i])]
+                own[i] = same[0] if same else -1
+            # a row that is there once is no candidate of its own; one with copies is, once less
+            alone = np.array([j >= 0 and copies[j] == 1 for j in own.tolist()], bool)
+            found = tile_search(q_ids, q_vectors, c_ids, c_vectors, k, np.where(alone, own, -1))
+            for i, (row, times, heap) in enumerate(zip(q.column("h").to_pylist(), q.column("copies").to_pylist(), found, strict=True)):
+                flat += [(int(q_ids[i]), row, times, -c, min(k, copies[-p] - (-p == own[i])), s) for s, c, p in heap]
+        return pa.Table.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate(types)], names=names)
+
+    schema = "query_id long, query_row long, query_copies long, vec_id long, copies long, score double"
+    tiles = left.groupBy("size", "qb", "cb").cogroup(right.groupBy("size", "qb", "cb")).applyInArrow(tile, schema)
+    times = lambda c: F.explode(F.sequence(F.lit(1), F.col(c)))
     rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
-    return tiles.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = tiles.withColumn("copy", times("copies")).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.withColumn("copy", times("query_copies")).select("query_id", "rank", "vec_id", "score")
