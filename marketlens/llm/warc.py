@@ -1,12 +1,12 @@
 """WARC archives: a writer and a sequential reader.
 
-Each record is one gzip member. Spark's text writer lays the members down one
-after the other, so that attempts, retries and commits are Spark's own and any
-Hadoop file system will do. That writer ends each value with a separator; the
-last byte of a member is the high byte of its length field, 0 for records under
-16 MB, so the separator is that byte and the value comes without it. Larger
-members keep their last byte and are followed by one zero byte of padding,
-which the reader skips.
+Each record is one gzip member. Members are packed to files of bounded bytes, and
+Spark's text writer lays each pack down, so that attempts, retries and commits
+are Spark's own and any Hadoop file system will do. That writer ends each value
+with a separator; the last byte of a member is the high byte of its length field,
+0 for records under 16 MB, so the separator is that byte and the value comes
+without it. A larger last member keeps its last byte and is followed by one zero
+byte of padding, which the reader skips.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import scratch_path, settled
 
 MIN_REVISIT_BYTES = 100
-#: Records per archive file at most; bounds what a reading task holds.
-RECORDS_PER_FILE = 2_000
+#: Bytes of members in one archive file, unless one member alone has more; bounds what a reading task holds.
+FILE_BYTES = 64 << 20
 _DATE = "2024-01-01T00:00:00Z"
 
 _MEMBERS = pa.schema([("member", pa.string())])
@@ -58,30 +58,36 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, size = [], 0
-        for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-            payload = (html or "").encode()
-            member = gzip_member(record_bytes(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to))
-            out.append(member[:-1] if member[-1] == 0 else member)
-            size += len(member)
-            if size > 1 << 24:
-                yield _as_text(out)
-                out, size = [], 0
-        yield _as_text(out)
+def _packs(file_bytes: int):
+    """Members, packed to values of file_bytes or of one larger member; each value becomes a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for page_id, url, html, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                payload = (html.as_py() or "").encode()
+                member = gzip_member(record_bytes(page_id.as_py(), url.as_py(), payload, hashlib.sha256(payload).hexdigest(), refers_to.as_py()))
+                if held and size + len(member) > file_bytes:
+                    yield _as_text(b"".join(held))
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield _as_text(b"".join(held))
+
+    return run
 
 
-def _as_text(values: list[bytes]) -> pa.RecordBatch:
-    """Raw bytes in a string column: the text writer copies them as they are."""
-    raw = pa.array(values, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())], schema=_MEMBERS)
+def _as_text(members: bytes) -> pa.RecordBatch:
+    """Raw bytes in a string column: the text writer copies them as they are, and adds the last byte if that is 0."""
+    raw = pa.array([members[:-1] if members[-1] == 0 else members], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), 1, raw.buffers())], schema=_MEMBERS)
 
 
-def write_warc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Write a record per row of (page_id, url, html, refers_to) to gzip archives under ``path``."""
-    members = pages.select("page_id", "url", "html", "refers_to").mapInArrow(_members, "member string")
-    members.write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).option("compression", "none").text(path)
+    packs = pages.select("page_id", "url", "html", "refers_to").mapInArrow(_packs(file_bytes), "member string")
+    packs.write.option("lineSep", "\u0000").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def read_records(data: bytes, step: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -156,8 +162,20 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
-def warc_round_trip(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """Writes a WARC record for each page and reads the archives back.
+def checked(records: DataFrame) -> DataFrame:
+    """The records, settled; ValueError where a revisit has another digest or length than the response it refers to."""
+    records = settled(records)
+    said = records.filter("record_type = 'revisit'").groupBy(F.col("refers_to").alias("to"), "payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"))
+    there = records.filter("record_type = 'response'").select("page_id", F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("size"))
+    same = (F.col("to") == F.col("page_id")) & (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("size"))
+    wrong = said.join(there, same, "left_anti").first()
+    if wrong is not None:
+        raise ValueError(f"no response {wrong['to']} with the payload that its {wrong['n']} revisits name")
+    return records
+
+
+def warc_round_trip(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes a WARC record for each page, reads the archives back and checks revisits against their responses.
 
     Null html is an empty payload, null urls an empty target, a null page_id an
     empty record name and null again when read. Rows that repeat both page_id
@@ -166,5 +184,5 @@ def warc_round_trip(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE)
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_warc(with_revisits(pages), path, records_per_file)
-    return read_warc(spark, path)
+    write_warc(with_revisits(pages), path, file_bytes)
+    return checked(read_warc(spark, path))
