@@ -27,7 +27,8 @@ SKETCH_BITS = (18, 28)
 DEPTH = 2
 #: Counters a token of expected anchors.
 SKETCH_LOAD = 4
-SHARDS_BITS = 6
+#: Shards of a row of the sketch, as bits, where it has enough counters.
+SHARDS_BITS = 8
 #: Anchors that a task counts before it lets them go.
 SKETCH_FLUSH = 1 << 20
 #: Heavy anchors are summed from the flushes that have them this often.
@@ -190,25 +191,30 @@ def buckets(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
     return ((hashes if row == 0 else mixed(hashes + _U(row))) >> _U(64 - bits)).astype(np.uint32)
 
 
+def shard_bits(bits: int) -> int:
+    return min(SHARDS_BITS, bits - 3)
+
+
 def _counted(hashes: np.ndarray, bits: int, heavy: int, depth: int) -> Iterator[pa.RecordBatch]:
     """A partition sketch, sparse: by shard, the counters at 1 and those at 2 or more.
 
     With heavy, also the hashes that may reach it over all partitions, with their counts, in shards behind those.
     """
-    cut, rows = bits - SHARDS_BITS, []
+    parts, rows = shard_bits(bits), []
+    cut = bits - parts
     for row in range(depth):
         values, counts = np.unique(buckets(hashes, bits, row), return_counts=True)
-        bounds = np.searchsorted(values, np.arange((1 << SHARDS_BITS) + 1, dtype=np.uint64) << np.uint64(cut))
-        for shard in range(1 << SHARDS_BITS):
+        bounds = np.searchsorted(values, np.arange((1 << parts) + 1, dtype=np.uint64) << np.uint64(cut))
+        for shard in range(1 << parts):
             own, often = values[bounds[shard] : bounds[shard + 1]] & np.uint32((1 << cut) - 1), counts[bounds[shard] : bounds[shard + 1]] > 1
             if len(own):
-                rows.append((row << SHARDS_BITS | shard, own[~often].tobytes(), own[often].tobytes()))
+                rows.append((row << parts | shard, own[~often].tobytes(), own[often].tobytes()))
     if heavy:
         values, counts = np.unique(hashes, return_counts=True)
         many = counts >= max(1, min(TASK_COUNT, heavy // 16))
         values, counts = values[many], counts[many]
-        shards = (mixed(values) >> _U(64 - SHARDS_BITS)).astype(np.int64)
-        rows += [((depth << SHARDS_BITS) + k, values[shards == k].tobytes(), counts[shards == k].astype(np.int64).tobytes()) for k in np.unique(shards).tolist()]
+        shards = (mixed(values) >> _U(64 - parts)).astype(np.int64)
+        rows += [((depth << parts) + k, values[shards == k].tobytes(), counts[shards == k].astype(np.int64).tobytes()) for k in np.unique(shards).tolist()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "once", "often"])
 
 
@@ -234,6 +240,8 @@ def sketched(docs: DataFrame, tokens: str, hashes_of: Callable[[Slice], np.ndarr
     of the sum.
     """
 
+    parts = shard_bits(bits)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -251,10 +259,10 @@ def sketched(docs: DataFrame, tokens: str, hashes_of: Callable[[Slice], np.ndarr
         often_seen: dict[int, list] = {}
         for batch in batches:
             for shard, once, often in zip(batch.column("shard").to_pylist(), batch.column("once"), batch.column("often"), strict=True):
-                if shard >= depth << SHARDS_BITS:
+                if shard >= depth << parts:
                     often_seen.setdefault(shard, []).append((np.frombuffer(once.as_py(), _U), np.frombuffer(often.as_py(), np.int64)))
                     continue
-                own = counters.setdefault(shard, np.zeros(1 << (bits - SHARDS_BITS), np.uint8))
+                own = counters.setdefault(shard, np.zeros(1 << (bits - parts), np.uint8))
                 one, two = np.frombuffer(once.as_py(), np.uint32), np.frombuffer(often.as_py(), np.uint32)
                 own[one] += own[one] < 2  # each value is in a partition's list once
                 own[two] = 2
@@ -265,13 +273,13 @@ def sketched(docs: DataFrame, tokens: str, hashes_of: Callable[[Slice], np.ndarr
         for shard, own in counters.items():
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(own >= 2).tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=["shard", "bits", "counts"])
 
-    tasks = min(depth << SHARDS_BITS, max(8, 1 << max(0, bits - 20)))  # counters in a task stay within some MB
+    tasks = min(depth << parts, max(8, 1 << max(0, bits - 20)))  # counters in a task stay within some MB
     sketches = docs.select("text").mapInArrow(count, "shard int, once binary, often binary").repartition(tasks, "shard")
     merged = sketches.mapInArrow(merge, "shard int, bits binary, counts binary").collect()  # a row a shard, 64 MB together at most
-    out = np.zeros((depth << SHARDS_BITS, 1 << (bits - SHARDS_BITS - 3)), np.uint8)
+    out = np.zeros((depth << parts, 1 << (bits - parts - 3)), np.uint8)
     most, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for row in merged:
-        if row["shard"] < depth << SHARDS_BITS:
+        if row["shard"] < depth << parts:
             out[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
         else:
             most.append(np.frombuffer(row["bits"], _U))

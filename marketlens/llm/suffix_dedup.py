@@ -2,9 +2,10 @@
 
 A window is WINDOW bytes of one document. Windows with one anchor (see
 ``repeats``) form blocks; a sketch of all anchors tells which may repeat, and
-only their blocks leave the task. Blocks meet by anchor. Of equal blocks the
-earliest goes on; the different blocks of an anchor are laid end to end, and
-their suffix array, built by linear grouping, brings equal windows together.
+only their blocks leave the task. Blocks meet by anchor. Of equal blocks, compared
+byte by byte, the earliest goes on; those of the different blocks of an anchor
+whose windows have hashes in common are laid end to end, and their suffix array,
+built by linear grouping, brings equal windows together.
 All but the earliest of equal windows are marked.
 
 Where a passage stands in very many documents, the different blocks at its edges
@@ -51,15 +52,43 @@ def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return data[index]
 
 
-def _earliest_blocks(anchor: np.ndarray, digest: np.ndarray, sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the earliest of equal blocks, by anchor, and of those that start later."""
+def _earliest_blocks(anchor: np.ndarray, digest: np.ndarray, sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the earliest of equal blocks, by anchor, of those that start later, and of what each of these equals."""
     place = (repeats.doc_rank(ids, hashes) << 32) | starts
     order = np.lexsort((place, sizes, digest, anchor))
     a, d, z, p = anchor[order], digest[order], sizes[order], place[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (z[1:] != z[:-1]))) if len(a) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    first = np.repeat(p[at], np.diff(np.concatenate((at, [len(a)]))))
-    return order[at], order[p > first]
+    first = np.repeat(at, np.diff(np.concatenate((at, [len(a)]))))
+    late = p > p[first]
+    return order[at], order[late], order[first[late]]
+
+
+def _all_equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether the spans at a and b hold the same bytes, pair by pair, some MB at a time."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // HEAVY_BYTES, prepend=-1, append=-1)) if len(sizes) else np.zeros(0, np.int64)
+    return all(np.array_equal(_gathered(data, a[i:j], sizes[i:j]), _gathered(data, b[i:j], sizes[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _settled_blocks(data: np.ndarray, at: np.ndarray, anchor: np.ndarray, digest: np.ndarray, sizes: np.ndarray, ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of equal blocks and the later ones, their bytes compared; where a hash deceived, by another hash."""
+    first, later, like = _earliest_blocks(anchor, digest, sizes, ids, hashes, starts)
+    if not _all_equal(data, at[later], at[like], sizes[later]):
+        strong = np.array([int.from_bytes(hashlib.sha256(data[i : i + n].tobytes()).digest()[:8], "little") for i, n in zip(at.tolist(), sizes.tolist(), strict=True)], np.uint64)
+        first, later, _ = _earliest_blocks(anchor, strong, sizes, ids, hashes, starts)
+    return first, later
+
+
+def _with_equals(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, window: int) -> np.ndarray:
+    """The blocks that have a window whose hash another window of theirs or another block has; only these can hold equal windows."""
+    if not len(blocks):
+        return blocks
+    block, _, _, value = windows_of(_gathered(data, at[blocks], sizes[blocks]), sizes[blocks], window)
+    order = np.argsort(value, kind="stable")
+    same = np.concatenate(([False], value[order][1:] == value[order][:-1], [False]))
+    keep = np.zeros(len(blocks), bool)
+    keep[block[order[same[1:] | same[:-1]]]] = True
+    return blocks[keep]
 
 
 def blocks_of(part: Slice, found: Anchors, keep: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +186,7 @@ def _passes(docs: DataFrame, total: int, window: int, gram: int, heavy: int) ->
         anchor, hashed, ids, hashes, starts, sizes = (np.concatenate(c) for c in list(zip(*held, strict=True))[:6])
         data = np.concatenate([h[6] for h in held])
         at = np.cumsum(sizes, dtype=np.int64) - sizes
-        first, later = _earliest_blocks(anchor, hashed, sizes, ids, hashes, starts)
+        first, later = _settled_blocks(data, at, anchor, hashed, sizes, ids, hashes, starts)
         marks = (ids[later], hashes[later], starts[later], starts[later] + sizes[later])
         apart = np.isin(anchor[first], most.value)
         yield sent((anchor, hashed, ids, hashes, starts, sizes), data, at, first[~apart], marks)
@@ -170,7 +199,7 @@ def _passes(docs: DataFrame, total: int, window: int, gram: int, heavy: int) ->
             block = part[block]
             begin = (starts[block] + offset).astype(np.int32)
             columns = (repeats.mixed(value), value, ids[block], hashes[block], begin, np.full(len(block), window, np.int32))
-            once, again = _earliest_blocks(*columns[:2], columns[5], *columns[2:5])
+            once, again = _settled_blocks(text, start, *columns[:2], columns[5], *columns[2:5])
             again = np.sort(again)
             new = np.flatnonzero(np.concatenate(([True], (block[again][1:] != block[again][:-1]) | (np.diff(begin[again]) != 1)))) if len(again) else again
             last = again[np.concatenate((new[1:] - 1, [len(again) - 1])).astype(np.int64)] if len(again) else again
@@ -215,8 +244,10 @@ def _passes(docs: DataFrame, total: int, window: int, gram: int, heavy: int) ->
         own = read(_NAMES[8:], (np.int64, np.int64, np.int32, np.int32))
         at = np.cumsum(sizes, dtype=np.int64) - sizes
         place = (repeats.doc_rank(ids, hashes) << 32) | starts
-        first, later = _earliest_blocks(anchor, hashed, sizes, ids, hashes, starts)
+        first, later = _settled_blocks(data, at, anchor, hashed, sizes, ids, hashes, starts)
         marks = [(ids[later], hashes[later], starts[later], starts[later] + sizes[later])]
+        several = np.concatenate(([False], anchor[first][1:] == anchor[first][:-1], [False])) if len(first) else np.zeros(1, bool)
+        first = _with_equals(data, at, sizes, first[several[1:] | several[:-1]], window)
         cuts = np.flatnonzero(np.concatenate(([True], anchor[first][1:] != anchor[first][:-1], [True]))) if len(first) else np.zeros(1, np.int64)
 
         def marked(chosen: np.ndarray) -> tuple[np.ndarray, ...]:
