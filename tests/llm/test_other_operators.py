@@ -30,6 +30,28 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_warc_of_repeated_ids_and_files_of_bounded_bytes(spark, tmp_path):
+    rnd = random.Random(12)
+    body = {k: "".join(rnd.choice("abcdefghij") for _ in range(3000)) for k in range(3)}
+    rows = [(5, "u", body[0]), (5, "u", body[0]), (5, "u", body[1]), (7, "u", body[0])] + [(100 + i, "u", body[2][i:]) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.warc_round_trip(pages, 4000).filter("page_id < 100").collect())
+    assert got == [(5, "response", 0, 3000), (5, "response", 0, 3000), (5, "response", 0, 3000), (7, "revisit", 5, 3000)]
+    warc.write_warc(warc.with_revisits(pages), str(tmp_path / "w"), 4000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 12 and max(sizes) <= 4000 + 1
+    assert warc.read_warc(spark, str(tmp_path / "w")).count() == len(rows)
+
+
+def test_warc_revisits_are_checked(spark):
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
+    good = [(1, 9, "d", "response", None, ""), (2, 9, "d", "revisit", 1, "")]
+    assert warc.checked(spark.createDataFrame(good, schema)).count() == 2
+    for bad in ((2, 8, "d", "revisit", 1, ""), (2, 9, "e", "revisit", 1, ""), (2, 9, "d", "revisit", 3, "")):
+        with pytest.raises(ValueError):
+            warc.checked(spark.createDataFrame([good[0], bad], schema))
+
+
 def test_warc_reader_rejects_damage():
     good = warc.gzip_member(warc.record_bytes(1, "http://a", b"hello", hashlib.sha256(b"hello").hexdigest(), None))
     (headers, block), (_, again) = warc.read_records(good + b"\0" + good, step=7)
@@ -52,17 +74,38 @@ def test_nearest_equals_brute_force(spark):
     rows = [(i, [float(x) for x in v], 0, 1) for i, v in enumerate(base)]
     rows += [(1000, None, 0, 1), (1001, [0.0] * 16, 0, 1), (1002, [float("nan")] * 16, 0, 1), (1003, [None] + [1.0] * 15, 0, 1), (None, [1.0] * 16, 0, 1), (1010, [1.0, 2.0], 0, 1), rows[3]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, h long, size int")
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 10 == 0, 5, 8, 64).collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 10 == 0, 5, 64).collect()}
     norm = np.sqrt((base * base).sum(1))
     expected = {}
+    ids = np.array([*range(300), 3])  # row 3 is there twice, and counts twice
     for i in range(0, 300, 10):
-        score = (base * base[i]).sum(1) / (norm * norm[i])
+        score = (base[ids] * base[i]).sum(1) / (norm[ids] * norm[i])
         score[i] = -9
-        for r, j in enumerate(np.lexsort((np.arange(300), -score))[:5]):
-            expected[(i, r + 1)] = (int(j), float(score[j]))
+        for r, j in enumerate(np.lexsort((ids, -score))[:5]):
+            expected[(i, r + 1)] = (int(ids[j]), float(score[j]))
     assert got == expected
 
 
+def test_nearest_leaves_out_only_the_own_row(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") == 0).collect())
+    one = [(0, 1, 0, 1.0), (0, 2, 7, 1.0), (0, 3, 0, 0.0)]  # the copy, the other vector's row, the row that shares the id
+    assert got == sorted([*one, *one, (0, 1, 0, 0.0), (0, 2, 0, 0.0), (0, 3, 7, 0.0)])  # fewer than five candidates: all
+
+
+def test_nearest_of_long_vectors(spark):
+    rnd = np.random.default_rng(2)
+    base = rnd.normal(size=(60, 3000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 3, 7).collect()}
+    unit = base / np.sqrt((base * base).sum(1))[:, None]
+    for i in range(0, 60, 20):
+        score = unit @ unit[i]
+        score[i] = -9
+        assert [got[(i, r + 1)] for r in range(3)] == np.argsort(-score)[:3].tolist()
+
+
 def test_quantisation_bounds_hold():
     rnd = np.random.default_rng(0)
     a, b = rnd.normal(size=(50, 40)), rnd.normal(size=(60, 40))
@@ -123,6 +166,105 @@ def test_continuation_is_a_distribution():
     assert all(s <= 1 + 1e-9 for s in sums.values())
 
 
+def test_ratios_equal_a_plain_kneser_ney():
+    """The ratio of every gram that is kept, against Kneser-Ney written out with dictionaries."""
+    rnd = random.Random(4)
+    counts = {}
+    for _ in range(6000):
+        g, c = "".join(rnd.choice("abc") for _ in range(3)), rnd.random() < 0.3
+        g = "abb" if c and rnd.random() < 0.3 else g
+        counts.setdefault(g, [0, 0])[0 if c else 1] += 1
+    code = lambda g: int.from_bytes(g.encode(), "big")
+    order = sorted(counts, key=code)
+    keys, toxic, ordinary = np.array([code(g) for g in order]), np.array([counts[g][0] for g in order], float), np.array([counts[g][1] for g in order], float)
+    model = toxicity.fit_ratios(toxicity.tagged(keys, 3), toxic, ordinary, 3)
+    pairs = {g[1:] for g in order}  # continuation counts of pairs: how many grams they end
+    ends = {p: sum(g[1:] == p for g in order) for p in pairs}
+    ones = {c: sum(p[1] == c for p in pairs) for c in "abc"}
+    single = {c: (ones[c] + 1) / (sum(ones.values()) + 256) for c in "abc"}
+
+    def pair(p):
+        own = {q: n for q, n in ends.items() if q[0] == p[0]}
+        return max(ends[p] - 0.75, 0) / sum(own.values()) + 0.75 * len(own) / sum(own.values()) * single[p[1]]
+
+    def log(g, c):
+        own = {h: counts[h][c] for h in order if h[:2] == g[:2]}
+        total, types = sum(own.values()), sum(n > 0 for n in own.values())
+        return np.log(max(counts[g][c] - 0.75, 0) / total + 0.75 * types / total * pair(g[1:]))
+
+    share = {g[:2]: sum(counts[h][0] for h in order if h[:2] == g[:2]) / sum(sum(counts[h]) for h in order if h[:2] == g[:2]) for g in order}
+    kept = dict(zip((model.grams & 0xFFFFFF).tolist(), model.ratios.tolist(), strict=True))
+    told = 0
+    for g in order:
+        n, e = sum(counts[g]), sum(counts[g]) * share[g[:2]]
+        if abs(counts[g][0] - e) > 3 * np.sqrt(e * (1 - share[g[:2]]) + 0.5):
+            assert kept[code(g)] == pytest.approx(log(g, 0) - log(g, 1))
+            told += 1
+        else:
+            assert kept.get(code(g), 0.0) == 0.0
+    assert told > 2
+
+
+def test_conflicting_labels_do_not_crash(spark):
+    docs, labels = labelled(spark, 60)
+    both = labels.unionByName(labels.withColumn("toxic", 1 - F.col("toxic"))).unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None), (4, 7, 7)], labels.schema))
+    assert toxicity.toxicity(docs, both).count() == docs.count() == quality.quality(docs, both).count()
+    assert quality.scores(docs.select("doc_id", "text"), labels.select("doc_id", F.col("quality").alias("label"))).count() == docs.count()
+
+
+def test_quality_equals_plain_co_training(spark):
+    """Two rounds over feature rows, written out with loops, against the operator."""
+    docs, labels = labelled(spark, 150)
+    docs, known = docs.filter("doc_id between 1 and 899"), labels.select("doc_id", F.col("quality").alias("label")).filter("doc_id % 3 > 0")
+    got = {r.doc_id: r.score for r in quality.scores(docs, known, rounds=2).collect()}
+    label = {r.doc_id: r.label for r in known.collect()}
+    part = {r.doc_id: r.p for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)).alias("p")).collect()}
+    rows = {r.doc_id: ({"text": list(r.text), "words": np.flatnonzero(np.unpackbits(np.frombuffer(r.words, np.uint8))).tolist(), "meta": list(r.meta)}) for r in quality.views(docs).collect()}
+    held = [i for i in label if i in rows and part[i] < 1]
+    own = {i: label[i] for i in label if i in rows and part[i] >= 1}
+    sure = np.log(0.95 / 0.05)
+
+    def odds(view, target):
+        n = [sum(y == c for y in target.values()) for c in (0, 1)]
+        seen, words = {}, {}
+        for i, y in target.items():
+            for f in rows[i][view]:
+                seen.setdefault(f, [0, 0])[y] += 1
+            for f in rows[i]["words"] if view == "text" else ():
+                words.setdefault(f, [0, 0])[y] += 1
+        plain = lambda f: np.log((seen.get(f, [0, 0])[1] + 1) / (n[1] + 2)) - np.log((seen.get(f, [0, 0])[0] + 1) / (n[0] + 2))
+        every = [sum(w[c] for w in words.values()) + quality.WORD_SLOTS for c in (0, 1)]
+        share = every[1] / sum(every)
+        content = {f: np.log((w[1] + 1) / every[1]) - np.log((w[0] + 1) / every[0]) for f, w in words.items() if abs(w[1] - sum(w) * share) > 3 * np.sqrt(sum(w) * share * (1 - share) + 0.5)}
+
+        def of(i):
+            told = [content[f] for f in rows[i]["words"] if f in content] if view == "text" else []
+            return np.log((n[1] + 1) / (n[0] + 1)) + sum(plain(f) for f in rows[i][view]) + sum(told) / np.sqrt(1 + len(told))
+
+        return of
+
+    def calibrated(of):
+        bin_ = lambda x: int(max(0, min(40, np.floor(x + 0.5) + 20)))
+        counts = np.zeros((41, 2))
+        for i in held:
+            counts[bin_(of(i)), label[i]] += 1
+        prior = (counts.sum(0) + 1) / (counts.sum() + 2)
+        rate, size = [(c[1] + 2 * prior[1]) / (c.sum() + 2) for c in counts], [c.sum() + 2 for c in counts]
+        out = [max(min(np.average(rate[a : b + 1], weights=size[a : b + 1]) for b in range(k, 41)) for a in range(k + 1)) for k in range(41)]  # monotone least squares
+        return lambda i: np.log(out[bin_(of(i))] / (1 - out[bin_(of(i))]))
+
+    targets = {"text": own, "meta": own}
+    for _ in range(2):
+        score = {v: calibrated(odds(v, targets[v])) for v in ("text", "meta")}
+        for view, other in (("text", "meta"), ("meta", "text")):
+            given = {i: int(score[other](i) > 0) for i in rows if i not in label and abs(score[other](i)) >= sure}
+            targets[view] = own | given
+    n = [sum(label[i] == c for i in held) for c in (0, 1)]
+    for i in rows:
+        total = score["text"](i) + score["meta"](i) - np.log(n[1] / n[0])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-6)
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = labelled(spark)
     rows = quality.quality(docs, labels).collect()
@@ -172,6 +314,15 @@ def test_contamination_equals_brute_force(spark):
     clean = {i for i, t, *_ in docs if not hits(t, items)[1]}
     kept = decontamination.drop_contaminated(d, b)
     assert {r.doc_id for r in kept.collect()} == clean and kept.columns == d.columns
+    spans = decontamination.remove_spans(d, b)
+    assert spans.columns == d.columns and spans.count() == d.count()
+    for r in spans.collect():
+        text = next(t for i, t, *_ in docs if i == r.doc_id and (t is None or not hits(t, items)[1] or True))
+        if r.doc_id in clean:
+            assert r.text == text
+        else:
+            n, hit, _ = hits(text, items)
+            assert hits(r.text, [])[0] == n - hit
     assert decontamination.contamination(d, b.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
@@ -218,6 +369,13 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "simhash", "decontamination", "mixing"]
     assert 0 < out.count() <= docs.count() and set(docs.columns) <= set(out.columns)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns
+    odd = docs.limit(40).withColumnsRenamed({"n_chars": "size"}).withColumns({"n_chars": F.col("size"), **{c: F.lit(1) for c in ("n_lines", "n_removed", "label", "root", "key0", "target", "taken", "score")}})
+    columns = ["doc_id", "text", *[c for c in odd.columns if c not in ("doc_id", "text")]]
+    empty = [(None,) * len(columns), (7, "") + (None,) * (len(columns) - 2), (8, "long word " * 200_000) + (None,) * (len(columns) - 2)]
+    odd = odd.unionByName(spark.createDataFrame(empty, ", ".join(f"{c} {dict(odd.dtypes)[c]}" for c in columns)))
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, odd, SF)
+        rows.collect()
+        if name != "mixing":
+            assert stage(spark, docs, SF).columns == docs.columns and rows.columns == odd.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
