@@ -63,7 +63,7 @@ def offer_rollup(offers: DataFrame) -> DataFrame:
 
 def with_missing_stores(products: DataFrame, stores: DataFrame, offers: DataFrame) -> DataFrame:
     """A row per product and enabled store; a store without an offer gets an error row."""
-    grid = products.select("product_id").crossJoin(F.broadcast(stores.filter("enabled").select("store_id")))
+    grid = products.select("product_id").crossJoin(stores.filter("enabled").select("store_id"))  # the grid is the result; Spark picks the join by size
     error = F.when(F.col("found").isNull(), "not_found")
     return grid.join(offers.withColumn("found", F.lit(True)), ["product_id", "store_id"], "left").select("product_id", "store_id", "price", "in_stock", error.alias("error"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = 40
@@ -86,3 +86,44 @@ def price_range(summary: DataFrame) -> DataFrame:
 
 def subcategories(summary: DataFrame) -> DataFrame:
     return summary.select("subcategory").distinct().filter("subcategory <> ''")
+
+
+FIRST_BRANDS, LEAST_QUERY, SUGGESTIONS = 15, 2, 6
+
+
+def in_category(products: DataFrame, category: str) -> DataFrame:
+    return products.filter(F.col("category") == category)
+
+
+def autocomplete(products: DataFrame, query: str, least: int = LEAST_QUERY, k: int = SUGGESTIONS) -> DataFrame:
+    """The best products of a query; of a query of fewer than ``least`` characters none."""
+    found = search(products, query if len(query.strip()) >= least else "")
+    return found.orderBy(F.desc("score"), "id").limit(k)
+
+
+def categories(products: DataFrame) -> DataFrame:
+    """category and its subcategories, sorted: a small dimension."""
+    return products.groupBy("category").agg(F.array_sort(F.collect_set("subcategory")).alias("subcategories"))
+
+
+def matching_categories(known: DataFrame, query: str) -> DataFrame:
+    """Categories whose name or one of whose subcategories holds the query."""
+    q = query.strip().lower()
+    return known.filter(F.lower("category").contains(q) | F.exists("subcategories", lambda s: F.lower(s).contains(q)))
+
+
+def price_bound(text: Column) -> Column:
+    """The leading integer of what was typed; none, or 0, is no bound."""
+    return F.nullif(F.regexp_extract(text, r"^\s*([-+]?\d+)", 1).try_cast("int"), F.lit(0))
+
+
+def visible_brands(facet: DataFrame, query: str = "", first: int = FIRST_BRANDS) -> DataFrame:
+    """Brands that hold the query, else the first by count."""
+    return facet.filter(F.lower("brand").contains(query.lower())) if query else facet.orderBy(F.desc("n"), "brand").limit(first)
+
+
+def offer_table(offers: DataFrame, stores: DataFrame) -> DataFrame:
+    """product_id, store_id, store_name (else the id), price and place: cheapest first, without a price last."""
+    named = offers.join(stores.select("store_id", "store_name"), "store_id", "left")
+    place = F.row_number().over(Window.partitionBy("product_id").orderBy(F.col("price").asc_nulls_last(), "store_id"))
+    return named.select("product_id", "store_id", F.coalesce("store_name", F.col("store_id").cast("string")).alias("store_name"), "price", place.alias("place"))
