@@ -79,15 +79,20 @@ def _settled_blocks(data: np.ndarray, at: np.ndarray, anchor: np.ndarray, digest
     return first, later
 
 
-def _with_equals(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, window: int) -> np.ndarray:
-    """The blocks that have a window whose hash another window of theirs or another block has; only these can hold equal windows."""
+def _with_equals(data: np.ndarray, at: np.ndarray, anchor: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, window: int) -> np.ndarray:
+    """The blocks, sorted by anchor, with a window whose hash another window of the anchor has; only these can hold equal windows."""
     if not len(blocks):
         return blocks
-    block, _, _, value = windows_of(_gathered(data, at[blocks], sizes[blocks]), sizes[blocks], window)
-    order = np.argsort(value, kind="stable")
-    same = np.concatenate(([False], value[order][1:] == value[order][:-1], [False]))
+    own, lengths = anchor[blocks], sizes[blocks].astype(np.int64)
+    groups = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    cuts = groups[np.flatnonzero(np.diff((np.cumsum(lengths) - lengths)[groups] // HEAVY_BYTES, prepend=-1))]  # whole anchors, some MB at a time
     keep = np.zeros(len(blocks), bool)
-    keep[block[order[same[1:] | same[:-1]]]] = True
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(blocks)], strict=True):
+        part = blocks[i:j]
+        block, _, _, value = windows_of(_gathered(data, at[part], sizes[part]), sizes[part], window)
+        order = np.argsort(value, kind="stable")
+        same = np.concatenate(([False], value[order][1:] == value[order][:-1], [False]))
+        keep[i + block[order[same[1:] | same[:-1]]]] = True
     return blocks[keep]
 
 
@@ -247,7 +252,7 @@ def _passes(docs: DataFrame, total: int, window: int, gram: int, heavy: int) ->
         first, later = _settled_blocks(data, at, anchor, hashed, sizes, ids, hashes, starts)
         marks = [(ids[later], hashes[later], starts[later], starts[later] + sizes[later])]
         several = np.concatenate(([False], anchor[first][1:] == anchor[first][:-1], [False])) if len(first) else np.zeros(1, bool)
-        first = _with_equals(data, at, sizes, first[several[1:] | several[:-1]], window)
+        first = _with_equals(data, at, anchor, sizes, first[several[1:] | several[:-1]], window)
         cuts = np.flatnonzero(np.concatenate(([True], anchor[first][1:] != anchor[first][:-1], [True]))) if len(first) else np.zeros(1, np.int64)
 
         def marked(chosen: np.ndarray) -> tuple[np.ndarray, ...]:
