@@ -126,4 +126,4 @@ def offer_table(offers: DataFrame, stores: DataFrame) -> DataFrame:
     """product_id, store_id, store_name (else the id), price and place: cheapest first, without a price last."""
     named = offers.join(stores.select("store_id", "store_name"), "store_id", "left")
     place = F.row_number().over(Window.partitionBy("product_id").orderBy(F.col("price").asc_nulls_last(), "store_id"))
-    return named.select("product_id", "store_id", F.coalesce("store_name", F.col("store_id").cast("string")).alias("store_name"), "price", place.alias("place"))
+    return named.select("product_id", "store_id", F.coalesce("store_name", F.col("store_id").cast("string")).alias("store_name"), "price", place.cast("long").alias("place"))

@@ -105,7 +105,7 @@ _TRUTH = {  # price, in_stock, error
     ),
     "flat": ("CASE WHEN size % 3 = 0 THEN price / 4 WHEN size % 2 = 0 THEN price / 2 ELSE price END", "size % 5 > 0", "NULL::VARCHAR"),
     "paged": ("CASE WHEN size % 2 = 0 AND size % 3 > 0 THEN price / 2 ELSE price END", "CASE size % 4 WHEN 0 THEN false WHEN 1 THEN true ELSE size > 30 END", "NULL::VARCHAR"),
-    "shopware": ("1000.0 + size", "NULL::BOOLEAN", "NULL::VARCHAR"), "html": ("NULL::DOUBLE", "NULL::BOOLEAN", "'not_found'"),
+    "shopware": ("1000.0::DOUBLE + size", "NULL::BOOLEAN", "NULL::VARCHAR"), "html": ("NULL::DOUBLE", "NULL::BOOLEAN", "'not_found'"),
 }
 _PLATFORMS = list(_TRUTH)
 
