@@ -68,6 +68,9 @@ def thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
         span = 1 << (shift + STEP_BITS)
         inside = hashed.join(broadcast_if_small(found.withColumnRenamed("source", "s"), found.count(), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s")))
         inside = inside.filter((F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + span))
+        if shift == HASH_BITS - 2 * STEP_BITS:  # the rows of the first boundary buckets are all that later levels read
+            inside = settled(inside.select("source", "size", "hash", "budget", "low"))
+            hashed = inside.select("source", "size", "hash")
         histogram = inside.groupBy("source", F.shiftright(F.col("hash"), shift).alias("bucket")).agg(F.sum("size").alias("tokens"), F.first("budget").alias("budget"))
         run = Window.partitionBy("source").orderBy("bucket")
         histogram = histogram.withColumn("upto", F.sum("tokens").over(run.rowsBetween(Window.unboundedPreceding, 0)))
