@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document has a hash of its id. A source that needs more than whole
+Every document has a hash of its id and text. A source that needs more than whole
 copies of its documents takes those whose hash lies under a threshold. The
 threshold comes from histograms: tokens are summed by source and hash bucket,
 the bucket in which the budget runs out is split again by the next bits, and so
@@ -23,9 +23,10 @@ WEIGHTS = (5, 2, 1)
 BROADCAST_SOURCES = 100_000
 
 
-def id_hash(doc_id: Column) -> Column:
-    """60 bits of MD5 of the id as text; null counts as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of MD5 of the id and, on a new line, the text; nulls count as empty."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
@@ -90,10 +91,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, whole: bool
     of docs instead of doc_id, whatever their names. A source takes
     floor(target / source_size) whole copies and, by threshold, part of one more.
     Null texts have size 0; null sources form one source, last in order; rows
-    that repeat an id share its hash, so they are taken together; an empty
+    equal in id and text share a hash, so they are taken together; an empty
     table gives no rows. Where all sizes are 0, targets are 0.
     """
-    sized = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")))
+    sized = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash")))
     targets = settled(source_targets(sized).withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)))
     budgets = targets.filter((F.col("source_size") > 0) & (F.col("copies") * F.col("source_size") < F.col("target")))
     below = thresholds(sized, budgets.select("source", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget")))
@@ -102,7 +103,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, whole: bool
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)} if whole else {"doc_id": "doc_id"}
     if whole:
         rows = docs.withColumnsRenamed(names)
-        sized = rows.withColumns({"source": F.col(names["source"]), "size": word_count(F.col(names["text"])), "hash": id_hash(F.col(names["doc_id"]))})
+        sized = rows.withColumns({"source": F.col(names["source"]), "size": word_count(F.col(names["text"])), "hash": row_hash(F.col(names["doc_id"]), F.col(names["text"]))})
     out = sized.join(broadcast_if_small(plan, targets.count(), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s")))
     taken = F.col("size") * (F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0))
     kept = [F.col(n).alias(c) for c, n in names.items() if c not in ("size", "source_size", "target", "taken")]
