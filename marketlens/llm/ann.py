@@ -39,6 +39,11 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to between 1/2 and 1: cosines stay the same to the bit, squares stay finite."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, their steps, and the sums of absolute quantised values."""
     step = np.abs(unit).max(axis=1) / 127
@@ -51,6 +56,7 @@ def tile_search(q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, candi
 
     own: for each query the position of its row among the candidates, -1 if it is not there.
     """
+    queries, candidates = scaled(queries), scaled(candidates)
     q_norm, c_norm = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((candidates * candidates).sum(axis=1))
     q_unit, c_unit = queries / q_norm[:, None], candidates / c_norm[:, None]
     exact = np.float32 if queries.shape[1] <= EXACT_SIZE else np.float64
@@ -99,7 +105,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, block_rows: int | None = N
     rows but itself: rows that share its id count, and so does each further copy
     of a row, as often as it is there. Ties go to the smaller id; with fewer than
     k candidates all are returned. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor do rows without an id. Vectors meet
+    non-finite components take no part, nor do rows without an id; any finite
+    magnitude is fine. Vectors meet
     only those of their length. Every pair is bounded and no pair that could
     matter is dropped. An empty table gives no rows.
 

@@ -88,7 +88,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, whole: bool
     """Words that a mix takes of each document.
 
     Returns doc_id, size, source_size, target, taken; with ``whole`` all columns
-    of docs instead of doc_id, whatever their names. A source takes
+    of docs instead of doc_id, whatever their names, but for own columns of these
+    four names in any case, which give way. A source takes
     floor(target / source_size) whole copies and, by threshold, part of one more.
     Null texts have size 0; null sources form one source, last in order; rows
     equal in id and text share a hash, so they are taken together; an empty
@@ -100,11 +101,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, whole: bool
     below = thresholds(sized, budgets.select("source", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget")))
     plan = targets.join(below.withColumnRenamed("source", "b"), F.col("source").eqNullSafe(F.col("b")), "left")
     plan = plan.select(F.col("source").alias("s"), "source_size", "target", "copies", F.coalesce("below", F.lit(0)).alias("below"))
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)} if whole else {"doc_id": "doc_id"}
+    columns = docs.columns if whole else ["doc_id"]
     if whole:
-        rows = docs.withColumnsRenamed(names)
-        sized = rows.withColumns({"source": F.col(names["source"]), "size": word_count(F.col(names["text"])), "hash": row_hash(F.col(names["doc_id"]), F.col(names["text"]))})
+        rows = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
+        at = {c.lower(): F.col(f"_c{i}") for i, c in enumerate(columns)}
+        sized = rows.withColumns({"source": at["source"], "size": word_count(at["text"]), "hash": row_hash(at["doc_id"], at["text"])})
     out = sized.join(broadcast_if_small(plan, targets.count(), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s")))
     taken = F.col("size") * (F.col("copies") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0))
-    kept = [F.col(n).alias(c) for c, n in names.items() if c not in ("size", "source_size", "target", "taken")]
+    added = ("size", "source_size", "target", "taken")
+    kept = [F.col(f"_c{i}" if whole else c).alias(c) for i, c in enumerate(columns) if c.lower() not in added]
     return out.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -106,6 +106,25 @@ def test_nearest_of_long_vectors(spark):
         assert [got[(i, r + 1)] for r in range(3)] == np.argsort(-score)[:3].tolist()
 
 
+def test_nearest_of_extreme_magnitudes(spark):
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=(80, 6))
+    tiny, huge = base * 2.0**-980, base * 2.0**1000
+    big = [float(x) for x in base[3]]
+    big[2] = 1e300  # one component dwarfs the others
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base[:30], tiny[30:55], huge[55:]]))] + [(500, big), (600, [5e-324] * 6)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    plain = np.concatenate([base, [[0, 0, 1, 0, 0, 0]], [[1] * 6]])
+    unit, ids = plain / np.sqrt((plain * plain).sum(1))[:, None], np.array([r[0] for r in rows])
+    assert len(got) == 5 * 6 and all(np.isfinite(r.score) for r in got)
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = unit @ unit[i]
+        score[i] = -9
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == ids[i])
+        best = np.argsort(-score)[:5]
+        assert [r[1] for r in mine] == ids[best].tolist() and np.allclose([r[2] for r in mine], score[best])
+
+
 def test_quantisation_bounds_hold():
     rnd = np.random.default_rng(0)
     a, b = rnd.normal(size=(50, 40)), rnd.normal(size=(60, 40))
@@ -361,6 +380,18 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mix_sources(df.limit(0)).collect() == []
 
 
+def test_mix_of_whole_rows_with_clashing_names(spark, tmp_path):
+    docs = [(f"c{i}", i, i, "w " * (i % 9), "a" if i % 3 else None, "x", "y", "z", "h", "s", 0) for i in range(60)]
+    names = "_c1 string, doc_id long, _c0 long, text string, source string, Size string, TAKEN string, Target string, hash string, s string, below long"
+    df = spark.createDataFrame(docs, names)
+    plain = {(r.doc_id, r.size, r.taken) for r in mixing.mix_sources(df.select("doc_id", "text", "source")).collect()}
+    mixing.mix_sources(df, whole=True).write.parquet(str(tmp_path / "mix"))
+    rows = spark.read.parquet(str(tmp_path / "mix")).collect()
+    assert {(r.doc_id, r["size"], r.taken) for r in rows} == plain and all(r._c1 == f"c{r._c0}" and r._c0 == r.doc_id and r.hash == "h" for r in rows)
+    taken = {(r.doc_id, r["size"]) for r in corpus_pipeline.mixing_stage(spark, df, "").collect()}
+    assert taken == {(i, n) for i, n, t in plain if t}
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 
