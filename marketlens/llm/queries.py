@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ann, decontamination, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from marketlens.llm import ann, decontamination, line_dedup, mixing, quality, resampling, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from marketlens.plans.registry import Registry
 from marketlens.sources.tables import table
 
@@ -165,3 +165,48 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query()
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE bit_steps AS (
+  SELECT b, b AS c, 0 AS k FROM range(256) r(b)
+  UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit_steps WHERE k < 8
+), steps AS (
+  SELECT list(c ORDER BY b) AS step FROM bit_steps WHERE k = 8
+), x AS (
+  SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), w AS (
+  SELECT row_number() OVER () AS n, side, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM x
+), f AS (
+  SELECT n, side, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS feature FROM w
+), hexed AS (
+  SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM f)
+), buckets AS (
+  SELECT feature, xor(list_reduce(list_transform(range(0, len(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT),
+           lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM hexed, steps
+), fb AS (
+  SELECT n, side, bucket FROM f JOIN buckets USING (feature)
+), counts AS (
+  SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM fb GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS g FROM counts
+), weights AS (
+  SELECT n, count(*)::BIGINT AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM fb JOIN gain USING (bucket) WHERE side = 0 GROUP BY n
+), d AS (
+  SELECT n, doc_id, len(ws) >= 20 AS fits, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM w LEFT JOIN weights USING (n) WHERE side = 0
+), o AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST)::BIGINT AS place FROM d WHERE fits
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * (SELECT count(*) FROM o) // 100 THEN place END AS rank
+FROM d LEFT JOIN o USING (n)
+"""
+
+
+@REGISTRY.query(OP11_SQL)
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
