@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ann, decontamination, line_dedup, mixing, quality, resampling, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from marketlens.llm import ann, decontamination, exact_topk, line_dedup, mixing, quality, resampling, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from marketlens.plans.registry import Registry
 from marketlens.sources.tables import table
 
@@ -210,3 +210,21 @@ FROM d LEFT JOIN o USING (n)
 @REGISTRY.query(OP11_SQL)
 def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.n AS qn, q.vec_id AS query_id, v.n, v.vec_id, list_dot_product(q.c, v.c)::BIGINT AS score
+  FROM v AS q JOIN v ON q.n <> v.n AND len(q.c) = len(v.c) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id, n)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
+@REGISTRY.query(OP13_SQL)
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
