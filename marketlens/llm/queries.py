@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import ann, decontamination, exact_topk, line_dedup, mixing, quality, resampling, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from marketlens.llm import ann, centroids, decontamination, exact_topk, line_dedup, mixing, quality, resampling, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from marketlens.plans.registry import Registry
 from marketlens.sources.tables import table
 
@@ -212,6 +212,41 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_sql(rounds: int = 10) -> str:
+    """The rounds one after another: c0 are the first centroids, a1 the first assignment, c1 the next centroids."""
+    steps = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM v QUALIFY c < 8
+)"""
+    ]
+    for r in range(1, rounds + 2):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT n, vec_id, v, min(struct_pack(d := d, c := c)) AS m FROM (
+    SELECT n, vec_id, v.v AS v, c, (list_dot_product(v.v, v.v) - 2 * list_dot_product(v.v, c{r - 1}.v) + list_dot_product(c{r - 1}.v, c{r - 1}.v))::BIGINT AS d
+    FROM v, c{r - 1}) GROUP BY n, vec_id, v
+)""")
+        if r <= rounds:
+            steps.append(f"""c{r} AS MATERIALIZED (
+  SELECT c, coalesce(u.v, c{r - 1}.v) AS v FROM c{r - 1} LEFT JOIN (
+    SELECT k, list(x ORDER BY i) AS v FROM (
+      SELECT k, i, floor(sum(x) / count(*)) AS x FROM (SELECT m.c AS k, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY k, i) GROUP BY k
+  ) AS u ON c = k
+)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia,
+       (SELECT sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT::VARCHAR), ',')) FROM c{rounds} AS c WHERE c.c = a.m.c) AS centroid_sha256
+FROM a{rounds + 1} AS a
+"""
+
+
+@REGISTRY.query(op12_sql())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 OP13_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS c FROM embeddings
