@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of one list at most: they become part of an expression.
+#: Entries of one list at most that may become part of an expression; for longer ones see LexiconTables.
 MOST_ENTRIES = 5_000
 
 
@@ -19,6 +19,24 @@ def entries(table: DataFrame, *columns: str, order: str = "ord") -> tuple:
     return tuple(r[0] if len(columns) == 1 else tuple(r) for r in rows)
 
 
+@dataclass(frozen=True)
+class Words:
+    """Words that matching looks for; none by default.
+
+    colours: (name, pattern of the words for it), in order. accessories and
+    bundles: words that make a name another kind of product. processors: families
+    whose numbers and tiers are not the product's. colour_slots, storage_slots:
+    what stores call these options of a variant, as patterns.
+    """
+
+    colours: tuple[tuple[str, str], ...] = ()
+    accessories: tuple[str, ...] = ()
+    bundles: tuple[str, ...] = ()
+    processors: tuple[str, ...] = ()
+    colour_slots: tuple[str, ...] = ()
+    storage_slots: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Words that the discovery rules look for.
@@ -42,3 +60,18 @@ class Lexicon:
         """brands and generic: ord, word; rules: ord, category, subcategory, words; stores: own_codes (array of prefixes)."""
         codes = stores.select(F.explode("own_codes").alias("code")).distinct().withColumn("ord", F.col("code"))
         return Lexicon(entries(brands, "word"), entries(generic, "word"), entries(rules, "category", "subcategory", "words"), own_codes=entries(codes, "code"))
+
+
+@dataclass(frozen=True)
+class LexiconTables:
+    """The same words as tables of any size, which are joined and never become part of an expression.
+
+    brands: ord, word; generic: word; rules: ord, category, subcategory, word
+    (a row per word, plain text and no pattern).
+    """
+
+    brands: DataFrame
+    generic: DataFrame
+    rules: DataFrame
+    default: tuple[str, str] = ("tjera", "Other")
+    own_codes: tuple[str, ...] = ()

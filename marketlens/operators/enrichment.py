@@ -30,10 +30,10 @@ def _bare(html: Column) -> Column:
     return T.squeeze(T.decoded_entities(F.regexp_replace(html, r"(?s)<[^>]*>", " ")))
 
 
-def specs_from_name(name: Column, patterns=SPECS) -> Column:
+def specs_from_name(name: Column, colours: tuple = (), patterns=SPECS) -> Column:
     """A map of what a product name says of its specifications; empty if it says nothing."""
     value = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit(""))
-    found = [("Storage", T.storage_size(F.regexp_replace(name, SPECS[0][1], " "))), *((k, value(p)) for k, p in patterns), ("Colour", T.colour(name))]
+    found = [("Storage", T.storage_size(F.regexp_replace(name, SPECS[0][1], " "))), *((k, value(p)) for k, p in patterns), ("Colour", T.colour(name, colours))]
     entries = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in found])
     return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 

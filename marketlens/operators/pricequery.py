@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.lexicon import Words
 from marketlens.operators import fusion, history, matching, pricing, state
 
 NOT_FOUND, UNAVAILABLE, FAILED = "not_found", "variant_unavailable", "search_failed"
@@ -28,7 +29,7 @@ def is_fresh(refreshed_at: Column, as_of: Column) -> Column:
     return age < pricing.FRESH_HOURS * 3600
 
 
-def price_query(requests: DataFrame, records: DataFrame, live: DataFrame, stores: DataFrame, as_of: Column) -> DataFrame:
+def price_query(requests: DataFrame, records: DataFrame, live: DataFrame, stores: DataFrame, as_of: Column, lex: Words = Words()) -> DataFrame:
     """Prices of each request from its record where that is fresh, else from what the stores gave.
 
     requests: key, search_terms, force; records and live: key, store_id, price,
@@ -40,11 +41,11 @@ def price_query(requests: DataFrame, records: DataFrame, live: DataFrame, stores
     fresh = records.filter(is_fresh(F.col("refreshed_at"), as_of)).select("key").distinct()
     cached = requests.filter(~F.coalesce("force", F.lit(False))).join(fresh, "key", "left_semi")
     old = pricing.mark_stale(cached.select("key", "search_terms").join(records, "key"), F.col("refreshed_at"), as_of)
-    old = matching.nullify_bad_matches(old).select("key", "store_id", "price", "in_stock", "error", pricing.flag("suspicious").alias("suspicious"), pricing.flag("overpriced").alias("overpriced"), "stale", F.lit(True).alias("from_cache"))
+    old = matching.nullify_bad_matches(old, lex).select("key", "store_id", "price", "in_stock", "error", pricing.flag("suspicious").alias("suspicious"), pricing.flag("overpriced").alias("overpriced"), "stale", F.lit(True).alias("from_cache"))
     open_ = requests.join(cached.select("key"), "key", "left_anti").select("key", "search_terms")
     grid = open_.withColumn("store_id", F.explode(F.array(*[F.lit(r[0]) for r in stores.filter("enabled").select("store_id").orderBy("store_id").collect()])))  # a small dimension
     new = grid.join(live.withColumn("there", F.lit(True)), ["key", "store_id"], "left")
-    new = matching.nullify_bad_matches(new.withColumn("error", F.when(F.col("there").isNull(), FAILED).otherwise(F.col("error"))))
+    new = matching.nullify_bad_matches(new.withColumn("error", F.when(F.col("there").isNull(), FAILED).otherwise(F.col("error"))), lex)
     new = pricing.flag_outliers(new.withColumnRenamed("key", "product_id")).withColumnRenamed("product_id", "key")
     new = new.select("key", "store_id", "price", "in_stock", "error", "suspicious", "overpriced", F.lit(False).alias("stale"), F.lit(False).alias("from_cache"))
     return old.unionByName(new)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
+from marketlens.functions.lexicon import Words
 from marketlens.operators import discovery, enrichment, extract, fusion, history, matching, pricing, querying, reports, search, state
 from marketlens.plans.registry import Registry
 from marketlens.sources import adapters as A
@@ -14,6 +15,9 @@ from marketlens.sources.tables import table
 REGISTRY = Registry()
 _ = REGISTRY.query  # decorator: _(oracle SQL)
 
+#: The words of these tables.
+LEXICON = Words(tuple((c, c) for c in ("black", "white", "red", "blue", "green", "orange")), accessories=("case",), colour_slots=("colou?r",), storage_slots=("storage",))
+
 # The domain tables as DuckDB sees them.
 PRODUCTS = """products AS (
   SELECT p_partkey AS id, p_name AS family, p_brand AS brand, p_type AS category,
@@ -468,7 +472,7 @@ def tier(spark, d):
 
 @_(f"WITH {NAMES} SELECT id, CASE WHEN regexp_matches(name, '\\bred\\b') THEN 'red' WHEN regexp_matches(name, '\\bblue\\b') THEN 'blue' END AS colour FROM names")
 def colour_token(spark, d):
-    return _names(spark, d).select("id", T.colour(F.col("name")).alias("colour"))
+    return _names(spark, d).select("id", T.colour(F.col("name"), LEXICON.colours).alias("colour"))
 
 
 MATCH = NAMES + """, q AS (SELECT min(id) AS query_id, brand, name AS query FROM names GROUP BY brand, name), c AS (SELECT min(id) AS candidate_id, brand, name FROM names GROUP BY brand, name),
@@ -491,13 +495,13 @@ def _match_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @_(f"WITH {MATCH} SELECT query_id, candidate_id, round(score, 6) AS score FROM t WHERE score > 0")
 def match_score(spark, d):
-    return matching.scored_pairs(*_match_sides(spark, d), "brand").select("query_id", "candidate_id", F.round("score", 6).alias("score"))
+    return matching.scored_pairs(*_match_sides(spark, d), "brand", LEXICON).select("query_id", "candidate_id", F.round("score", 6).alias("score"))
 
 
 @_(f"WITH {MATCH}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS n FROM t WHERE score > 0) SELECT query_id, candidate_id, round(score, 6) AS score FROM r WHERE n = 1")
 def match_best(spark, d):
     queries, candidates = _match_sides(spark, d)
-    return matching.best_matches(queries, candidates, "brand").withColumn("score", F.round("score", 6))
+    return matching.best_matches(queries, candidates, "brand", LEXICON).withColumn("score", F.round("score", 6))
 
 
 # --- extraction -------------------------------------------------------------
@@ -557,7 +561,7 @@ def query_clean(spark, d):
 
 @_(f"WITH {NAMES} SELECT id, CASE WHEN regexp_matches(name, '\\bred\\b') THEN 100 WHEN regexp_matches(name, '\\bblue\\b') THEN 0 ELSE -1 END AS confidence FROM names")
 def colour_confidence(spark, d):
-    return _names(spark, d).select("id", querying.colour_confidence(F.lit("red"), F.col("name")).alias("confidence"))
+    return _names(spark, d).select("id", querying.colour_confidence(F.lit("red"), F.col("name"), LEXICON.colours).alias("confidence"))
 
 
 @_(f"WITH {NAMES} SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS handle FROM names")
@@ -586,7 +590,7 @@ def spec_sections(spark, d):
 @_(f"""WITH {NAMES} SELECT id, nullif(upper(regexp_extract(name, '(\\d+gb)', 1)), '') AS storage,
   CASE WHEN regexp_matches(name, '\\bred\\b') THEN 'red' WHEN regexp_matches(name, '\\bblue\\b') THEN 'blue' END AS colour FROM names""")
 def specs_from_name(spark, d):
-    specs = enrichment.specs_from_name(F.col("name"))
+    specs = enrichment.specs_from_name(F.col("name"), LEXICON.colours)
     return _names(spark, d).select("id", F.try_element_at(specs, F.lit("Storage")).alias("storage"), F.try_element_at(specs, F.lit("Colour")).alias("colour"))
 
 

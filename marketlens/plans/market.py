@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import text as T
 from marketlens.functions.lexicon import Lexicon
 from marketlens.operators import discovery, enrichment, extract, fusion, history, matching, offers, pages, pricequery, pricing, querying, search, state
-from marketlens.plans.catalogue import AS_OF, HISTORY, KEYED, OFFERS, PRODUCTS, REGISTRY, STATE, SUMMARY, _keyed, _summary
+from marketlens.plans.catalogue import AS_OF, HISTORY, KEYED, LEXICON, OFFERS, PRODUCTS, REGISTRY, STATE, SUMMARY, _keyed, _summary
 from marketlens.sources import adapters as A
 from marketlens.sources import json_tables
 from marketlens.sources.shared import shared_dir
@@ -23,7 +23,7 @@ from marketlens.sources.tables import table
 _ = REGISTRY.query
 P = "p AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_size AS size, p_retailprice AS price FROM part)"
 LEX = Lexicon(("Widget", "Gear"), ("red", "blue"), (("hot goods", "Hot", "hot"), ("cold goods", "Cold", "cold")), own_codes=("CEL",))
-WORDS = {"aliases": (("orange", "red"),), "families": {"cool": ("blue", "green"), "warm": ("red", "orange")}}
+WORDS = {"lexicon": LEXICON.colours, "aliases": (("orange", "red"),), "families": {"cool": ("blue", "green"), "warm": ("red", "orange")}}
 
 
 def _size() -> Column:
@@ -132,34 +132,34 @@ def _offer_rows(rows: DataFrame) -> DataFrame:
 
 @_(f"WITH {P} {_truth('shopify')}")
 def shopify_offers(spark, d):
-    return _offer_rows(offers.choose(offers.shopify(_payloads(spark, d, "shopify")), strict_colour=None))
+    return _offer_rows(offers.choose(offers.shopify(_payloads(spark, d, "shopify"), LEXICON), strict_colour=None, lex=LEXICON))
 
 
 @_(f"WITH {P} {_truth('woocommerce')}")
 def woocommerce_offers(spark, d):
-    return _offer_rows(offers.choose(offers.woocommerce(_payloads(spark, d, "woocommerce"), _details(spark, d)), strict_colour=None))
+    return _offer_rows(offers.choose(offers.woocommerce(_payloads(spark, d, "woocommerce"), _details(spark, d), LEXICON), strict_colour=None, lex=LEXICON))
 
 
 @_(f"WITH {P} {_truth('flat')}")
 def flat_offers(spark, d):
-    return _offer_rows(offers.choose(offers.flat(_payloads(spark, d, "flat")), strict_colour=False))
+    return _offer_rows(offers.choose(offers.flat(_payloads(spark, d, "flat")), strict_colour=False, lex=LEXICON))
 
 
 @_(f"WITH {P} {_truth('paged')}")
 def paged_offers(spark, d):
-    return _offer_rows(offers.choose(offers.paged(_payloads(spark, d, "paged")), over_all=True))
+    return _offer_rows(offers.choose(offers.paged(_payloads(spark, d, "paged")), over_all=True, lex=LEXICON))
 
 
 @_(f"WITH {P} {_truth('shopware')}")
 def shopware_offers(spark, d):
-    return _offer_rows(offers.choose(offers.shopware(_payloads(spark, d, "shopware")), sanity=True))
+    return _offer_rows(offers.choose(offers.shopware(_payloads(spark, d, "shopware")), sanity=True, lex=LEXICON))
 
 
 @_(f"WITH {P} " + " UNION ALL ".join(_truth(n, str(i), f"id % 6 = {i}") for i, n in enumerate(_PLATFORMS)))
 def offers_dispatch(spark, d):
     rows = reduce(DataFrame.unionByName, [_payloads(spark, d, n, i).filter(F.col("product_id") % 6 == i) for i, n in enumerate(_PLATFORMS)])
     stores = spark.createDataFrame(list(enumerate(_PLATFORMS)), "store_id int, platform string")
-    return _offer_rows(offers.dispatch(rows, stores, _details(spark, d)))
+    return _offer_rows(offers.dispatch(rows, stores, _details(spark, d), LEXICON))
 
 
 @_(f"WITH {P} SELECT id, CASE WHEN size % 3 > 0 THEN price END AS price, CASE size % 6 WHEN 1 THEN true WHEN 2 THEN size > 25 WHEN 4 THEN true WHEN 5 THEN false END AS in_stock FROM p")
@@ -534,7 +534,7 @@ def colour_verdicts(spark, d):
 @_(f"WITH {P} SELECT id, CASE WHEN size % 2 = 0 THEN CASE WHEN name LIKE 'red%' THEN 'red' WHEN name LIKE 'blue%' THEN 'blue' ELSE 'green' END END AS colour FROM p")
 def requested_colour(spark, d):
     exact = F.when(_size() % 2 == 0, "!").otherwise("")
-    return _parts(spark, d).select("id", querying.requested_colour(F.array(F.lit("white"), _text(exact, _name()), _text(exact, "green x"))).alias("colour"))
+    return _parts(spark, d).select("id", querying.requested_colour(F.array(F.lit("white"), _text(exact, _name()), _text(exact, "green x")), LEXICON.colours).alias("colour"))
 
 
 @_(f"WITH {P} SELECT id, CASE WHEN instr(name, 'gear') > 1 THEN 'gear' WHEN instr(name, 'rod') > 1 THEN 'rod' END AS forward, CASE WHEN starts_with(name, 'hot ') THEN substr(name, 5) END AS stripped, size % 3 = 0 AS is_model FROM p")
@@ -549,10 +549,10 @@ def store_queries(spark, d):
     return _parts(spark, d).select("id", F.array_join(querying.store_queries(terms, ("hot",)), "|").alias("queries"))
 
 
-@_(f"WITH {P} SELECT id, CASE WHEN size % 3 = 0 AND size % 5 > 0 THEN 'Ring' WHEN size % 3 = 0 THEN NULL END AS base, CASE WHEN size % 3 = 0 AND size % 5 > 0 THEN '!b Ring 64GB|!Ring 64GB|t' ELSE 't' END AS terms FROM p WHERE name LIKE '%ring'")
+@_(f"WITH {P} SELECT id, base, coalesce('!b ' || base || ' 64GB|!' || base || ' 64GB|', '') || 't' AS terms FROM (SELECT id, CASE WHEN size % 3 = 0 AND size % 5 > 0 THEN CASE WHEN name LIKE '% ring' THEN 'Ring' WHEN name LIKE '% plate' THEN 'Plate' END END AS base FROM p)")
 def variant_terms(spark, d):
-    base = querying.base_model(_text(F.when(_size() % 5 == 0, "case ").otherwise(""), _name()), F.when(_size() % 3 == 0, "Laptop").otherwise("TV"), ((r"(?i)\bring\b", "Ring"), (r"(?i)\bplate\b", "Plate")))
-    rows = _parts(spark, d).filter("name like '%ring'").withColumn("base", base)
+    base = querying.base_model(_text(F.when(_size() % 5 == 0, "case ").otherwise(""), _name()), F.when(_size() % 3 == 0, "Laptop").otherwise("TV"), ((r"(?i)\bring\b", "Ring"), (r"(?i)\bplate\b", "Plate")), LEXICON.accessories)
+    rows = _parts(spark, d).withColumn("base", base)
     return rows.select("id", "base", F.array_join(querying.variant_terms(F.col("base"), F.lit("b"), F.lit(""), F.lit("64GB"), F.array(F.lit("t"))), "|").alias("terms"))
 
 

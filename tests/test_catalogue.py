@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
+from marketlens.functions.lexicon import Words
 from marketlens.operators import extract, fusion, matching, pricing, search, state
-from marketlens.plans.market import REGISTRY
+from marketlens.plans.mechanisms import REGISTRY
 
 SF = "/root/testdata/sf0.001"
+WORDS = Words((("black", "black"), ("white", "white")), ("case",), ("bundle",), ("core",))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -48,16 +50,16 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize("name,numbers", [("iPhone 17 256GB", ["17"]), ("Galaxy S24 Ultra", []), ('TV 65" QLED 4', ["4"]), ("Dell Core i7 14", ["14"]), ("iPad 10.9 8", ["8"])])
 def test_generation_numbers(spark, name, numbers):
-    assert one(spark, T.generation_numbers(F.col("n")), n=name) == numbers
+    assert one(spark, T.generation_numbers(F.col("n"), processors=("core",)), n=name) == numbers
 
 
 def test_glued_numbers(spark):
     assert one(spark, T.generation_numbers(F.col("n"), glued=True), n="Galaxy S24") == ["24"]
 
 
-@pytest.mark.parametrize("name,tier", [("iPhone 17 Pro Max", "pro max"), ("iPhone 17 Pro", "pro"), ("Laptop Core Ultra 7", None), ("Product", None)])
+@pytest.mark.parametrize("name,tier", [("iPhone 17 Pro Max", "pro max"), ("iPhone 17 Pro", "pro"), ("Laptop Core Ultra 7", None), ("Laptop Core Ultra 7 Air", "air"), ("Product", None)])
 def test_tier(spark, name, tier):
-    assert one(spark, T.tier(F.col("n")), n=name) == tier
+    assert one(spark, T.tier(F.col("n"), ("core",)), n=name) == tier
 
 
 def test_boundaries_are_ascii(spark):
@@ -97,11 +99,11 @@ def test_survivor_prefers_image_then_short_name(spark):
     ],
 )
 def test_strict_score(spark, query, name, ok):
-    assert (one(spark, matching.strict_score(F.col("q"), F.col("n")), q=query, n=name) > 0) == ok
+    assert (one(spark, matching.strict_score(F.col("q"), F.col("n"), WORDS), q=query, n=name) > 0) == ok
 
 
 def test_colour_bonus(spark):
-    score = lambda q, n: one(spark, matching.strict_score(F.col("q"), F.col("n")), q=q, n=n)
+    score = lambda q, n: one(spark, matching.strict_score(F.col("q"), F.col("n"), WORDS), q=q, n=n)
     assert score("iPhone 17 black", "iPhone 17 black") == pytest.approx(1.5 * 3)
 
 

@@ -10,7 +10,7 @@ def one(spark, column, **values):
 
 
 def test_specs_from_name(spark):
-    specs = lambda n: one(spark, E.specs_from_name(F.col("n")), n=n)
+    specs = lambda n: one(spark, E.specs_from_name(F.col("n"), (("black", "black|zi"), ("white", "white|bardhe"), ("blue", "blue"))), n=n)
     assert specs('Laptop 15.6" IPS 16GB RAM 512GB black') == {"Storage": "512GB", "RAM": "16GB", "Screen": "15.6", "Panel": "IPS", "Colour": "black"}
     assert specs("Frigorifer 300 L 90 W") == {"Volume": "300", "Power": "90"}
     assert specs("") == {} and specs(None) == {}
