@@ -240,8 +240,12 @@ def paged_source(spark, d):
 
 @_(_source_sql("'a-' || replace(name, ' ', '-')", sku=False, where="true").replace("FROM p WHERE", "FROM (SELECT min_by(p, id) AS q, CASE WHEN size % 7 = 0 THEN 'u' ELSE '' END AS u, name AS n FROM p GROUP BY u, n), LATERAL (SELECT q.id, q.name, q.size) AS t(id, name, size) WHERE"))
 def card_source(spark, d):
-    cards = F.array(F.struct(_title().alias("name"), F.lit("/x").alias("url"), _price().alias("price"), _image().alias("image")))
-    return _source_rows(discovery.from_cards(_parts(spark, d).select(F.lit("a").alias("store"), F.lit("t").alias("term"), _id().alias("page"), cards.alias("cards")), LEX))
+    """From HTML: a card in a layout table, quotes of both kinds and none, a name in a heading, an image that loads late, and a card without a link."""
+    html = _text(
+        "<table><tr><td><div class='x product-box'><a href=/x><table><tr><td><img data-src='", _image(), "' src=\"\"></td></tr></table></a><h3>", F.replace(_title(), F.lit(" "), F.lit(" \n &#32;")),
+        '</h3></div></td></tr></table><div class="product-box"><h3>no link</h3></div>',
+    )
+    return _source_rows(discovery.from_pages(_parts(spark, d).select(F.lit("a").alias("store"), F.lit("t").alias("term"), _id().alias("page"), html.alias("html")), LEX))
 
 
 @_("SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.lexicon import LexiconTables
-from marketlens.operators import dictionary, discovery
-from marketlens.plans.market import REGISTRY, _parts, _text
+from marketlens.operators import dictionary, discovery, pagetree
+from marketlens.plans.market import REGISTRY, P, _parts, _text
 from marketlens.sources.tables import table
 
 _ = REGISTRY.query
@@ -64,3 +64,70 @@ def flat_source_by_tables(spark, d):
     rules = codes.union(spark.createDataFrame([(2**60, "hot goods", "Hot", "hot")], "ord long, category string, subcategory string, word string"))
     rows = discovery.flat(_named(spark, d).select(F.lit("a").alias("store"), body.alias("body")), LexiconTables(_lexicon(spark, d), _generic(spark), rules))
     return rows.select("id", "family", "brand", "category")
+
+
+# --- pages as trees -------------------------------------------------------------------
+
+_BARE = r"""h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS html FROM pages)"""
+
+
+def _decoded(text: str) -> str:
+    for name, char in (("quot", '"'), ("apos", "''"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+@_(rf"""WITH {_BARE}, l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\b[^>]*\bhref="([^"]*)"[^>]*>', 1)) AS url FROM h) SELECT page_id, {_decoded("url")} AS url FROM l""")
+def tree_links(spark, d):
+    """Links of the real pages by the tag stack: those in comments and scripts are none."""
+    found = pagetree.elements(table(spark, d, "pages"), ("a",))
+    return found.select("page_id", F.col("attrs")["href"].alias("url")).filter("url is not null")
+
+
+@_(rf"""WITH {_BARE}, l AS (SELECT page_id, regexp_replace(unnest(regexp_extract_all(html, '(?s)<li\b[^>]*>(.*?)</li>', 1)), '<[^>]*>', '', 'g') AS item FROM h)
+SELECT page_id, trim(regexp_replace({_decoded("item")}, '\s+', ' ', 'g')) AS item FROM l""")
+def tree_lists(spark, d):
+    found = pagetree.elements(table(spark, d, "pages"), ("li",))
+    return found.select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("item"))
+
+
+def _spec_page():
+    """A layout table around a table of specifications with sections, quotes of every kind, unclosed cells; a list; attributes."""
+    name, size = F.col("name"), F.col("size")
+    return _text(
+        "<table width=100%><tr><td>", "<table class=specs><tr><th colspan='2'>Display &amp; more", F.when(size % 4 == 0, " x" * 40).otherwise(""), "<tr><td title='a > b'>Size<td><b>", size, "</b> in</tr><tr><td>Name</td><td>", name,
+        "</td></tr></table></td></tr></table>", "<dl><dt>Weight<dd>", size, " kg<dt>Lone</dl>", '<ul class="a product-attributes"><li><span class="attr-label">Colour</span> <span class="attr-value">', name,
+        "</span><li><span class=attr-label>Price</span><span class='attr-value'>", F.col("price"), "</span></ul>",
+    )
+
+
+@_(f"""WITH {P}, s AS (SELECT *, CASE WHEN size % 4 = 0 THEN '' ELSE 'Display & more: ' END AS head FROM p)
+SELECT id AS page_id, unnest([head || 'Size', head || 'Name', 'Weight', 'Colour', 'Price']) AS k, unnest([size || ' in', name, size || ' kg', name, price::VARCHAR]) AS v FROM s""")
+def tree_specs(spark, d):
+    """Specifications of pages with nested tables; of equal keys the last counts."""
+    found = pagetree.elements(_parts(spark, d).select(F.col("id").alias("page_id"), _spec_page().alias("html")), classes=("product-attributes", "attr-label", "attr-value"))
+    attributes = pagetree.attribute_specs(found, (("product-attributes", "li", (".attr-label", "th"), (".attr-value", "td")),))
+    return pagetree.last_said(pagetree.table_specs(found).unionByName(pagetree.definition_specs(found)).unionByName(attributes))
+
+
+@_(f"WITH {P} SELECT id AS page_id, name, unnest(['', 'Body', 'Body']) AS section, unnest(['Launch', 'Size', 'Note']) AS k, unnest([size::VARCHAR, size || ' mm', 'a b']) AS v FROM p")
+def tree_device(spark, d):
+    """Device pages with a table inside an information cell."""
+    name, size = F.col("name"), F.col("size")
+    html = _text(
+        "<h1 class='specs-phone-name-title modelname'>", name, "</h1><table><tr><td class=ttl>Launch<td class='nfo x'>", size, "</table><table><tr><th>Body</th><td class='ttl'>Size</td><td class=nfo>", size,
+        " <i>mm</i></td></tr><tr><td class=ttl>Note</td><td class=nfo><table><tr><td>a <td>b</table></td></tr></table>",
+    )
+    pages = _parts(spark, d).select(F.col("id").alias("page_id"), html.alias("html")).union(spark.createDataFrame([(-1, "<table><tr><td class=ttl>a<td class=nfo>b</table>"), (-2, None)], "page_id long, html string"))
+    return pagetree.device_specs(pages)
+
+
+@_(f"WITH {P} SELECT id AS page_id, array_to_string(list_filter(['http://m/media/0', 'http://x/product/' || id, 'http://x/product/1' || id, CASE WHEN size % 2 = 0 THEN 'http://l/media/late' END], lambda x: x IS NOT NULL), ' ') AS images FROM p")
+def tree_images(spark, d):
+    size = F.col("size")
+    html = _text(
+        "<meta content='http://m/media/0' property=og:image><img src=http://x/product/", F.col("id"), "><img src='http://x/product/logo'><img src=http://x/product/1", F.col("id"), "><img src=/product/2><img src='http://x/product/", F.col("id"), "'>",
+        F.when(size % 2 == 0, "<img src='' data-src=http://l/media/late>").otherwise("<!-- <img src='http://l/media/late'> -->"),
+    )
+    found = pagetree.elements(_parts(spark, d).select(F.col("id").alias("page_id"), html.alias("html")), ("img", "meta"))
+    return pagetree.images(found).select("page_id", F.array_join("images", " ").alias("images"))
