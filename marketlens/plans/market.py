@@ -6,6 +6,7 @@ operators, and are compared with what SQL says of the part table itself.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -250,7 +251,7 @@ def card_source(spark, d):
 
 @_("SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part")
 def json_round_trip(spark, d):
-    path = f"{shared_dir(spark)}/json-round-trip"
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
     json_tables.write_json(_parts(spark, d).select("id", "name", "price"), path)
     return json_tables.read_json(spark, path, "id long, name string, price double").unionByName(json_tables.read_json(spark, path + "-that-is-not-there", "id long, name string, price double"))
 

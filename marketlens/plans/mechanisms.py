@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.lexicon import LexiconTables
-from marketlens.operators import dictionary, discovery, pagetree
-from marketlens.plans.market import REGISTRY, P, _parts, _text
+from marketlens.operators import dictionary, discovery, pagetree, pricequery
+from marketlens.plans.catalogue import AS_OF, HISTORY, TRENDS
+from marketlens.plans.market import _RECORDS, REGISTRY, P, _parts, _records, _text
+from marketlens.sources import adapters as A
+from marketlens.sources.history_table import HistoryTable
+from marketlens.sources.shared import shared_dir
+from marketlens.sources.snapshots import Snapshots
 from marketlens.sources.tables import table
 
 _ = REGISTRY.query
@@ -131,3 +139,59 @@ def tree_images(spark, d):
     )
     found = pagetree.elements(_parts(spark, d).select(F.col("id").alias("page_id"), html.alias("html")), ("img", "meta"))
     return pagetree.images(found).select("page_id", F.array_join("images", " ").alias("images"))
+
+
+# --- stored tables --------------------------------------------------------------------
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_(f"""WITH {HISTORY}, old AS (SELECT * FROM history WHERE day BETWEEN {AS_OF} - 95 AND {AS_OF} - 5), new AS (
+  SELECT product_id, day, store_id, price + 1 AS price FROM history WHERE day BETWEEN {AS_OF} - 6 AND {AS_OF} AND product_id % 2 = 0)
+SELECT product_id, day, store_id, price FROM new UNION ALL SELECT product_id, day, store_id, price FROM old ANTI JOIN new USING (product_id, day, store_id) WHERE day >= {AS_OF} - 90""")
+def history_table(spark, d):
+    """The history up to five days ago as a table by day; then a week's prices come in, and the days that are too old go."""
+    last = A.last_day(spark, d)
+    stored = HistoryTable(spark, _path(spark, "history"))
+    rows = A.history(spark, d)
+    stored.upsert(rows.filter(F.col("day") <= F.lit(last - timedelta(days=5))), last - timedelta(days=5))
+    week = rows.filter((F.col("day") >= F.lit(last - timedelta(days=6))) & (F.col("product_id") % 2 == 0))
+    stored.upsert(week.withColumn("price", F.col("price") + 1), last)
+    return stored.read()
+
+
+@_(f"WITH {HISTORY} SELECT product_id, day, store_id, price FROM history WHERE product_id % 7 = 0 AND day >= {AS_OF} - 30")
+def history_table_range(spark, d):
+    last = A.last_day(spark, d)
+    stored = HistoryTable(spark, _path(spark, "history"))
+    stored.upsert(A.history(spark, d), last)
+    return stored.range(last, 30).filter(F.col("product_id") % 7 == 0)
+
+
+@_(f"WITH {TRENDS} SELECT product_id, score * 2 AS score FROM trends")
+def trends_overwrite(spark, d):
+    """Trends are replaced as a whole; a run that fails afterwards leaves them as they are."""
+    stored = Snapshots(spark, _path(spark, "trends"), "product_id long, score long")
+    rows = A.trends(spark, d)
+    stored.overwrite(rows)
+    stored.overwrite(rows.withColumn("score", F.col("score") * 2))
+    return stored.read()
+
+
+@_(f"""WITH {_RECORDS} SELECT key, store_id, CASE WHEN key::BIGINT % 3 = 0 THEN price + 2 ELSE price END AS price, CASE WHEN key::BIGINT % 3 = 0 THEN {AS_OF}::TIMESTAMP ELSE refreshed_at END AS refreshed_at FROM records""")
+def price_records_merge(spark, d):
+    """Price records as versions; two refreshes, each on the rows that the one before left."""
+    now = A.as_of(spark, d).cast("timestamp_ntz")
+    stored = Snapshots(spark, _path(spark, "prices"), "key string, store_id long, price double, refreshed_at timestamp_ntz")
+    stored.overwrite(_records(spark, d))
+
+    def refreshed(rows: DataFrame) -> DataFrame:
+        new = rows.filter(F.col("key").cast("long") % 3 == 0).withColumn("price", F.col("price") + 1).drop("refreshed_at")
+        return pricequery.price_upsert(rows, new, now)
+
+    stored.merge(refreshed)
+    stored.merge(refreshed)
+    stored.vacuum()
+    return stored.read()

@@ -7,6 +7,8 @@ wall clock.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +62,14 @@ def history(spark: SparkSession, d: str) -> DataFrame:
     return observations(spark, d).groupBy("product_id", "day", "store_id").agg(F.min("price").alias("price"))
 
 
+def last_day(spark: SparkSession, d: str) -> date:
+    """The last day in the data; one aggregate over one column."""
+    return table(spark, d, "lineitem").agg(F.max(_day())).first()[0]
+
+
 def as_of(spark: SparkSession, d: str) -> Column:
-    """The last day in the data as a literal; one aggregate over one column."""
-    return F.lit(table(spark, d, "lineitem").agg(F.max(_day())).first()[0])
+    """The last day in the data as a literal."""
+    return F.lit(last_day(spark, d))
 
 
 def catalogue_state(spark: SparkSession, d: str) -> DataFrame:

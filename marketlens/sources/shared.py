@@ -26,3 +26,15 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: later plans start there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop has them, for any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes what is at the path, if anything."""
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
