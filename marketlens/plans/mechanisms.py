@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.lexicon import LexiconTables
-from marketlens.operators import dictionary, discovery, pagetree, pricequery
-from marketlens.plans.catalogue import AS_OF, HISTORY, TRENDS
+from marketlens.operators import dictionary, discovery, pagetree, pricequery, searchindex
+from marketlens.plans.catalogue import AS_OF, HISTORY, PRODUCTS, TRENDS
 from marketlens.plans.market import _RECORDS, REGISTRY, P, _parts, _records, _text
 from marketlens.sources import adapters as A
 from marketlens.sources.history_table import HistoryTable
@@ -195,3 +195,31 @@ def price_records_merge(spark, d):
     stored.merge(refreshed)
     stored.vacuum()
     return stored.read()
+
+
+# --- search index ---------------------------------------------------------------------
+
+_ASKED = """q AS (SELECT min(p_partkey) AS query_id, p_name AS q FROM part GROUP BY p_name UNION ALL SELECT -1 - min(p_partkey), substr(p_name, 2, length(p_name) - 3) || ' ' || substr(p_name, 1, 2) FROM part GROUP BY p_name),
+words AS (SELECT query_id, lower(trim(q)) AS q, list_filter(string_split(lower(q), ' '), lambda w: w <> '') AS ws FROM q),
+found AS (SELECT query_id, id, family, q, ws, len(list_filter(ws, lambda w: contains(lower(family), w))) AS hits,
+    lower(family || chr(10) || brand || chr(10) || model_number || chr(10) || family || ' ' || brand || ' ' || family) AS hay FROM words, products),
+hit AS (SELECT query_id, id, family, CASE WHEN contains(lower(family), q) THEN 100.0 ELSE 0 END::DOUBLE + hits * 10 + CASE WHEN hits = len(ws) THEN 20 ELSE 0 END + CASE WHEN starts_with(lower(family), q) THEN 30 ELSE 0 END
+    + hits / len(string_split(family, ' ')) * 20 - length(family) * 0.15::DOUBLE AS score FROM found WHERE len(list_filter(ws, lambda w: NOT contains(hay, w))) = 0)"""
+
+
+def _searched(spark: SparkSession, d: str) -> tuple[searchindex.SearchIndex, DataFrame]:
+    """The index of all products; as queries every name, and every name without its ends and with its first letters behind."""
+    index = searchindex.build(A.products(spark, d), _path(spark, "search"))
+    names = A.products(spark, d).groupBy("family").agg(F.min("id").alias("id"))
+    cut = _text(F.expr("substr(family, 2, length(family) - 3)"), " ", F.substring("family", 1, 2))
+    return index, names.select(F.col("id").alias("query_id"), F.col("family").alias("query")).union(names.select(-1 - F.col("id"), cut))
+
+
+@_(f"WITH {PRODUCTS}, {_ASKED} SELECT query_id, id, round(score, 6) AS score FROM hit")
+def search_batch(spark, d):
+    return searchindex.search(*_searched(spark, d)).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@_(f"WITH {PRODUCTS}, {_ASKED} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM hit QUALIFY place <= 6")
+def search_suggestions(spark, d):
+    return searchindex.suggestions(*_searched(spark, d)).select("query_id", "id", "place")
