@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.lexicon import LexiconTables
 from marketlens.operators import dictionary, discovery, pagetree, pricequery, searchindex
-from marketlens.plans.catalogue import AS_OF, HISTORY, PRODUCTS, TRENDS
+from marketlens.plans.catalogue import AS_OF, HISTORY, OFFERS, PRODUCTS, TRENDS
 from marketlens.plans.market import _RECORDS, REGISTRY, P, _parts, _records, _text
 from marketlens.sources import adapters as A
 from marketlens.sources.history_table import HistoryTable
 from marketlens.sources.shared import shared_dir
 from marketlens.sources.snapshots import Snapshots
 from marketlens.sources.tables import table
+from marketlens.streaming.refresh import RefreshTables
 
 _ = REGISTRY.query
 
@@ -223,3 +224,57 @@ def search_batch(spark, d):
 @_(f"WITH {PRODUCTS}, {_ASKED} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM hit QUALIFY place <= 6")
 def search_suggestions(spark, d):
     return searchindex.suggestions(*_searched(spark, d)).select("query_id", "id", "place")
+
+
+# --- refresh as a stream --------------------------------------------------------------
+# Two micro-batches an hour apart: even products, then the odd ones and every tenth again, a little cheaper.
+
+_STREAM = OFFERS + f""", r AS (SELECT product_id, store_id, CASE WHEN store_id % 7 > 0 THEN price END AS price, CASE WHEN store_id % 7 = 0 THEN CASE WHEN product_id % 3 = 0 THEN 'not_found' ELSE 'timeout' END END AS error,
+  store_id % 5 = 0 AS suspicious, CASE WHEN store_id % 3 = 0 THEN 'n' || product_id END AS native, least(100, store_id) AS confidence FROM offers),
+b1 AS (SELECT * FROM r WHERE product_id % 2 = 0), b2 AS (SELECT * REPLACE (price - 1 AS price) FROM r WHERE product_id % 2 = 1 OR product_id % 10 = 0),
+m1 AS (SELECT product_id, min(price) AS low, count(*) AS n FROM b1 WHERE price IS NOT NULL AND NOT suspicious GROUP BY 1), m2 AS (SELECT product_id, min(price) AS low, count(*) AS n FROM b2 WHERE price IS NOT NULL AND NOT suspicious GROUP BY 1),
+t1 AS (SELECT {AS_OF}::TIMESTAMP AS now), a AS (SELECT product_id, o_custkey AS subscriber, floor(max(price))::BIGINT AS threshold, max(o_orderdate) AS last_notified FROM obs JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+n1 AS (SELECT product_id, subscriber, low FROM a JOIN m1 USING (product_id), t1 WHERE threshold >= low AND (last_notified IS NULL OR last_notified < now - INTERVAL 24 HOURS)),
+n2 AS (SELECT product_id, subscriber, low FROM a JOIN m2 USING (product_id), t1 WHERE threshold >= low AND (last_notified IS NULL OR last_notified < now - INTERVAL 23 HOURS) AND (product_id, subscriber) NOT IN (SELECT (product_id, subscriber) FROM n1))"""
+
+
+def _streamed(spark: SparkSession, d: str) -> RefreshTables:
+    """The tables after the stream has read both batches; a tenth of the mappings was approved before."""
+    store, product = F.col("store_id"), F.col("product_id")
+    lost, now = store % 7 == 0, A.as_of(spark, d).cast("timestamp")
+    rows = A.offers(spark, d).select(
+        "product_id", "store_id", F.when(~lost, F.col("price")).alias("price"), "in_stock", F.when(lost, F.when(product % 3 == 0, "not_found").otherwise("timeout")).alias("error"),
+        F.when(store % 3 == 0, _text("n", product)).alias("store_product_id"), F.least(F.lit(100), "store_id").cast("double").alias("confidence"), (store % 5 == 0).alias("suspicious"), F.lit(False).alias("overpriced"), now.alias("at"),
+    )
+    path = _path(spark, "refresh")
+    rows.filter(product % 2 == 0).coalesce(1).write.mode("append").parquet(f"{path}/offers")
+    later = rows.filter((product % 2 == 1) | (product % 10 == 0)).withColumns({"price": F.col("price") - 1, "at": F.col("at") + F.expr("INTERVAL 1 HOUR")})
+    later.coalesce(1).write.mode("append").parquet(f"{path}/offers")
+    tables = RefreshTables(spark, path)
+    approved = rows.filter("store_product_id is not null and product_id % 10 = 1").select("store_id", "store_product_id", F.lit(-1).cast("long").alias("product_id"), F.lit(1).alias("confidence"), F.lit("approved").alias("status"))
+    tables.load(A.catalogue_state(spark, d), approved, A.alerts(spark, d))
+    tables.run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/offers")).awaitTermination()
+    return tables
+
+
+@_(f"""WITH {_STREAM}, o AS (SELECT product_id, min(price) AS low, count(DISTINCT store_id) AS n, max(day) AS seen FROM obs GROUP BY 1)
+SELECT o.product_id, coalesce(m2.low, m1.low, o.low) AS lowest_price, coalesce(m2.n, m1.n, o.n) AS store_count, CASE WHEN m1.product_id IS NULL AND m2.product_id IS NULL THEN seen ELSE {AS_OF} END AS last_seen, 'discovered' AS status
+FROM o LEFT JOIN m1 USING (product_id) LEFT JOIN m2 USING (product_id)""")
+def stream_refresh_state(spark, d):
+    return _streamed(spark, d).state.read()
+
+
+@_(f"""WITH {_STREAM} SELECT store_id, native AS store_product_id, CASE WHEN product_id % 10 = 1 THEN -1 ELSE product_id END AS product_id, CASE WHEN product_id % 10 = 1 THEN 1 ELSE confidence END::INT AS confidence,
+CASE WHEN product_id % 10 = 1 THEN 'approved' ELSE 'pending' END AS status FROM r WHERE native IS NOT NULL""")
+def stream_refresh_mappings(spark, d):
+    return _streamed(spark, d).mappings.read()
+
+
+@_(f"WITH {_STREAM} SELECT product_id, subscriber, low AS lowest_price, 0::BIGINT AS batch FROM n1 UNION ALL SELECT product_id, subscriber, low, 1 FROM n2")
+def stream_refresh_notices(spark, d):
+    return _streamed(spark, d).notices().select("product_id", "subscriber", "lowest_price", "batch")
+
+
+@_(f"WITH {_STREAM}, w AS (SELECT product_id, store_id, price, 0 AS n FROM b1 UNION ALL SELECT product_id, store_id, price, 1 FROM b2) SELECT product_id, {AS_OF} AS day, store_id, arg_max_null(price, n) AS price FROM w GROUP BY product_id, store_id")
+def stream_refresh_history(spark, d):
+    return _streamed(spark, d).history.read()
