@@ -76,6 +76,26 @@ def page(summary: DataFrame, order: str, pages: int = 1, tie: str = "id") -> Dat
     return summary.orderBy(*ORDERS[order](), F.col(tie)).limit(pages * PAGE)
 
 
+def collated_page(summary: DataFrame, after: tuple | None = None, column: str = "family", collation: str = "UNICODE", size: int = PAGE, tie: str = "id") -> DataFrame:
+    """The next rows by a name in the order of a language, as ``collation`` has it: accents and case only part what is otherwise equal.
+
+    after: name and tie of the last row of the page before; the rows up to it are
+    filtered out and not sorted again. Names that the collation takes for equal
+    go by tie; rows without a name come last.
+    """
+    name = F.collate(column, collation)
+    rows = summary
+    if after is not None:
+        last, at = after
+        beyond = F.col(tie) > at
+        if last is None:
+            rows = rows.filter(F.col(column).isNull() & beyond)
+        else:
+            key = F.collate(F.lit(last), collation)
+            rows = rows.filter((name > key) | ((name == key) & beyond) | F.col(column).isNull())
+    return rows.orderBy(name.asc_nulls_last(), F.col(tie)).limit(size)
+
+
 def brand_facet(summary: DataFrame) -> DataFrame:
     return summary.groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
 

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.lexicon import LexiconTables
-from marketlens.operators import dictionary, discovery, pagetree, pricequery, searchindex
-from marketlens.plans.catalogue import AS_OF, HISTORY, OFFERS, PRODUCTS, TRENDS
+from marketlens.operators import dictionary, discovery, matching, pagetree, pricequery, search, searchindex, state
+from marketlens.operators.growing import GrowingClasses
+from marketlens.plans.catalogue import AS_OF, HISTORY, LEXICON, MATCH, NAMES, OFFERS, PRODUCTS, STATE, TRENDS, _keyed
 from marketlens.plans.market import _RECORDS, REGISTRY, P, _parts, _records, _text
 from marketlens.sources import adapters as A
+from marketlens.sources import payloads
 from marketlens.sources.history_table import HistoryTable
 from marketlens.sources.shared import shared_dir
 from marketlens.sources.snapshots import Snapshots
 from marketlens.sources.tables import table
+from marketlens.streaming.refresh import STATE as REFRESH_STATE
 from marketlens.streaming.refresh import RefreshTables
 
 _ = REGISTRY.query
@@ -278,3 +281,77 @@ def stream_refresh_notices(spark, d):
 @_(f"WITH {_STREAM}, w AS (SELECT product_id, store_id, price, 0 AS n FROM b1 UNION ALL SELECT product_id, store_id, price, 1 FROM b2) SELECT product_id, {AS_OF} AS day, store_id, arg_max_null(price, n) AS price FROM w GROUP BY product_id, store_id")
 def stream_refresh_history(spark, d):
     return _streamed(spark, d).history.read()
+
+
+# --- rejected payloads, order of names, co-located merges, matching without numbers ----
+
+_BODIES = f"{P}, b AS (SELECT *, CASE size % 6 WHEN 0 THEN 'unreadable body' WHEN 1 THEN 'empty body' WHEN 2 THEN 'no list' WHEN 3 THEN 'item lacks $.title' END AS reason FROM p)"
+
+
+def _payload_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Bodies of two products each: cut off, blank, without the list, with a product that has no title, and whole ones."""
+    size, whole = F.col("size"), _text('{"products":[{"title":"', F.col("name"), '","id":', F.col("id"), '},{"title":"x","id":-1}]}')
+    body = F.when(size % 6 == 0, F.expr("substr(whole, 1, length(whole) - 5)")).when(size % 6 == 1, F.when(size % 12 == 1, "  ")).when(size % 6 == 2, '{"items":[]}').when(size % 6 == 3, F.replace("whole", F.lit('"title":"x"'), F.lit('"name":"x"'))).otherwise(F.col("whole"))
+    rows = _parts(spark, d).withColumn("whole", whole).select(F.col("brand").alias("store"), body.alias("body"))
+    return payloads.quarantined(rows, "$.products", ("$.title",))
+
+
+@_(f"WITH {_BODIES} SELECT brand AS store, reason, count(*) AS n FROM b WHERE reason IS NOT NULL GROUP BY ALL")
+def payloads_rejected(spark, d):
+    return payloads.rejections(_payload_items(spark, d)[1], "store")
+
+
+@_(f"WITH {_BODIES} SELECT brand AS store, name AS title, id FROM b WHERE size % 6 >= 3 UNION ALL SELECT brand, 'x', -1 FROM b WHERE size % 6 > 3")
+def payloads_read(spark, d):
+    return _payload_items(spark, d)[0].select("store", payloads.field("$.title").alias("title"), payloads.field("$.id", "long").alias("id"))
+
+
+@_(f"WITH {PRODUCTS} SELECT id, family FROM products ORDER BY family, id LIMIT 40 OFFSET 80")
+def names_third_page(spark, d):
+    """The third page by name, each from the last row of the page before."""
+    rows, after = A.products(spark, d).select("id", "family"), None
+    for _page in range(2):
+        last = search.collated_page(rows, after).agg(F.max_by(F.struct("family", "id"), F.struct(F.collate("family", "UNICODE").alias("n"), "id")).alias("m")).first().m
+        after = (last.family, last.id)
+    return search.collated_page(rows, after)
+
+
+@_(f"""WITH {STATE}, n AS (SELECT product_id, lowest_price - 1 AS low FROM state WHERE product_id % 4 = 0 UNION ALL SELECT -1 - product_id, 5.0 FROM state WHERE product_id % 50 = 0)
+SELECT coalesce(s.product_id, n.product_id) AS product_id, CASE WHEN n.product_id IS NOT NULL THEN low ELSE lowest_price END AS lowest_price, CASE WHEN n.product_id IS NOT NULL THEN {AS_OF} ELSE last_seen END AS last_seen, 'discovered' AS status
+FROM state s FULL JOIN n ON s.product_id = n.product_id""")
+def state_merge_bucketed(spark, d):
+    """The catalogue state stored in buckets by product; updates alone are shuffled."""
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = Snapshots(spark, _path(spark, "state"), REFRESH_STATE, (("product_id",), buckets))
+    stored.overwrite(A.catalogue_state(spark, d))
+    known = stored.read()
+    updates = known.filter("product_id % 4 = 0").select("product_id", (F.col("lowest_price") - 1).alias("lowest_price")).union(known.filter("product_id % 50 = 0").select(-1 - F.col("product_id"), F.lit(5.0)))
+    stored.merge(lambda rows: state.merge_state(rows, updates.withColumn("store_count", F.lit(None).cast("long")), A.as_of(spark, d)))
+    stored.vacuum(1)
+    return stored.read().drop("store_count")
+
+
+_PLAIN_NAMES = "names AS (SELECT p_partkey AS id, p_name || CASE WHEN p_size % 3 = 0 THEN ' Pro' WHEN p_size % 5 = 0 THEN ' Ultra' ELSE '' END AS name, p_brand AS brand FROM part)"
+
+
+@_(f"WITH {MATCH.replace(NAMES, _PLAIN_NAMES)} SELECT query_id, candidate_id, round(score, 6) AS score FROM t WHERE score > 0")
+def match_without_numbers(spark, d):
+    size = F.col("size")
+    names = _parts(spark, d).select("id", _text(F.col("name"), F.when(size % 3 == 0, " Pro").when(size % 5 == 0, " Ultra").otherwise("")).alias("name"), "brand")
+    queries = names.groupBy("brand", F.col("name").alias("query")).agg(F.min("id").alias("query_id"))
+    candidates = names.groupBy("brand", "name").agg(F.min("id").alias("candidate_id"))
+    return matching.scored_pairs(queries, candidates, "brand", LEXICON).select("query_id", "candidate_id", F.round("score", 6).alias("score"))
+
+
+# --- duplicate classes that grow ------------------------------------------------------
+
+
+@_(REGISTRY.oracles["duplicate_classes"])
+def duplicate_classes_grown(spark, d):
+    """The classes of the whole catalogue, taken in as two thirds, a third and, last, a hundredth that links them further."""
+    rows, keys = _keyed(spark, d), ["fusion_key", "model_key"]
+    grown = GrowingClasses(spark, _path(spark, "classes"))
+    grown.add(rows.filter("id % 100 > 0 and id % 3 > 0"), keys)
+    grown.add(rows.filter("id % 100 > 0 and id % 3 = 0"), keys)
+    grown.add(rows.filter("id % 100 = 0"), keys)
+    return grown.classes()
