@@ -79,6 +79,18 @@ def product_summary(products: DataFrame, offers: DataFrame, state: DataFrame) ->
     )
 
 
+def offer_listing(products: DataFrame, offers: DataFrame, state: DataFrame, refreshed: DataFrame) -> DataFrame:
+    """product_summary with store_ids, the stores with a price (cheapest first), and refreshed_at of the product's record.
+
+    refreshed: product_id, refreshed_at. A product without a price has no store.
+    """
+    priced = offers.filter(PREDICATES["v1"]()).groupBy(F.col("product_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("price", "store_id"))), lambda o: o["store_id"]).alias("store_ids"))
+    last = refreshed.groupBy(F.col("product_id").alias("id")).agg(F.max("refreshed_at").alias("refreshed_at"))
+    out = product_summary(products, offers, state).join(priced, "id", "left").join(last, "id", "left")
+    kind = dict(priced.dtypes)["store_ids"]
+    return out.withColumn("store_ids", F.coalesce("store_ids", F.array().cast(kind)))
+
+
 def cheapest_marker(offers: DataFrame) -> DataFrame:
     """Adds cheapest: whether the price is the product's lowest."""
     return offers.withColumn("cheapest", F.coalesce(F.col("price") == F.min("price").over(Window.partitionBy("product_id")), F.lit(False)))

@@ -70,5 +70,17 @@ def probe_flips(probes: DataFrame) -> DataFrame:
     return probes.withColumn("before", before).filter("status = 'up' and (before is null or before <> 'up')").select("service", "id", "at")
 
 
+def record_probes(services: DataFrame, probes: DataFrame, notified: DataFrame) -> DataFrame:
+    """service, last_status, last_checked, last_notified after new probes; the time of the last notice stays until there is another.
+
+    services: as returned; probes: service, id, at, status; notified: service, at
+    of notices that went out.
+    """
+    last = probes.groupBy("service").agg(F.max_by("status", F.struct("at", "id")).alias("status"), F.max("at").alias("at"))
+    told = notified.groupBy("service").agg(F.max("at").alias("told"))
+    rows = services.join(last, "service", "full").join(told, "service", "left")
+    return rows.select("service", F.coalesce("status", "last_status").alias("last_status"), F.coalesce("at", "last_checked").alias("last_checked"), F.greatest("told", "last_notified").alias("last_notified"))
+
+
 def latest_probe(probes: DataFrame) -> DataFrame:
     return probes.groupBy("service").agg(F.max(F.struct("at", "id", "status")).alias("m")).select("service", F.col("m.status").alias("status"), F.col("m.at").alias("at"))

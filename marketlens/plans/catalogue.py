@@ -517,7 +517,12 @@ def html_lists(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(extract.list_items(F.col("html"))).alias("item"))
 
 
-@_()
+_TEXT_SQL = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _char in (("quot", '"'), ("apos", "''"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _TEXT_SQL = f"replace({_TEXT_SQL}, '&{_name};', '{_char}')"
+
+
+@_(f"SELECT page_id, trim(regexp_replace({_TEXT_SQL}, '[\\s\\x{{A0}}]+', ' ', 'g')) AS text FROM pages")
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", extract.plain(F.col("html")).alias("text"))
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.lexicon import LexiconTables
-from marketlens.operators import dictionary, discovery, matching, pagetree, pricequery, search, searchindex, state
+from marketlens.operators import dictionary, discovery, extract, matching, offers, pagetree, pricequery, pricing, search, searchindex, state
 from marketlens.operators.growing import GrowingClasses
-from marketlens.plans.catalogue import AS_OF, HISTORY, LEXICON, MATCH, NAMES, OFFERS, PRODUCTS, STATE, TRENDS, _keyed
+from marketlens.plans.catalogue import AS_OF, HISTORY, LEXICON, MATCH, NAMES, OFFERS, PROBES, PRODUCTS, STATE, SUMMARY, TRENDS, _keyed
 from marketlens.plans.market import _RECORDS, REGISTRY, P, _parts, _records, _text
 from marketlens.sources import adapters as A
 from marketlens.sources import payloads
@@ -355,3 +355,73 @@ def duplicate_classes_grown(spark, d):
     grown.add(rows.filter("id % 100 > 0 and id % 3 = 0"), keys)
     grown.add(rows.filter("id % 100 = 0"), keys)
     return grown.classes()
+
+
+# --- pages asked for directly, probes, listings, texts of pages -------------------------
+
+_SHOPS = [("1", "shopify", "https://one"), ("2", "shopware", "https://two/")]
+
+
+def _asked_for(spark: SparkSession, d: str) -> DataFrame:
+    """Products of both shops: those of even size came from shop 1; every third has an address in shop 2, every ninth of these for another colour than is asked for."""
+    size, num = F.col("size"), F.col("id")
+    own = _text(F.when(size % 2 == 0, "1-h").otherwise("x-h"), num)
+    terms = F.array_compact(F.array(F.col("name"), F.when(num % 3 == 0, _text("https://two/p/", num, F.when(num % 9 == 0, "-green").otherwise(""))), F.when(num % 9 == 0, F.lit("!x Red"))))
+    return _parts(spark, d).select("id", "size", "price", "name", own.alias("product_id"), terms.alias("search_terms"))
+
+
+@_(f"""WITH {P}, a AS (SELECT CASE WHEN size % 2 = 0 THEN '1-h' ELSE 'x-h' END || id AS product_id, size, id, name FROM p)
+SELECT product_id, '1' AS store_id, 0 AS ord, 'own handle' AS kind, 'https://one/products/h' || id AS address FROM a WHERE size % 2 = 0
+UNION ALL SELECT product_id, '2', 0, 'stored address', 'https://two/p/' || id FROM a WHERE id % 3 = 0 AND id % 9 > 0""")
+def offer_lookups(spark, d):
+    found = offers.direct_lookups(_asked_for(spark, d).select("product_id", "search_terms"), spark.createDataFrame(_SHOPS, "store_id string, platform string, url string"), LEXICON)
+    return found.filter(F.col("kind") != offers.INFERRED)
+
+
+@_(f"""WITH {P}, a AS (SELECT CASE WHEN size % 2 = 0 THEN '1-h' ELSE 'x-h' END || id AS product_id, * FROM p)
+SELECT product_id, '1' AS store_id, CASE WHEN size % 2 = 0 THEN CASE WHEN id % 9 > 0 THEN price END ELSE 1.5 END AS price, CASE WHEN size % 2 = 0 AND id % 9 > 0 THEN id % 4 = 0 END AS in_stock,
+  CASE WHEN size % 2 = 0 AND id % 9 = 0 THEN 'variant_unavailable' END AS error FROM a
+UNION ALL SELECT product_id, '2', CASE WHEN id % 3 = 0 AND id % 9 > 0 THEN CASE WHEN size % 2 = 0 THEN price ELSE floor(price) END ELSE 1.5 END, CASE WHEN id % 3 = 0 AND id % 9 > 0 THEN CASE WHEN size % 2 = 0 THEN false ELSE true END END, NULL FROM a""")
+def offers_direct_first(spark, d):
+    """Answers of the own handles and stored addresses; elsewhere the search's price of 1.5 stands."""
+    products, shops = _asked_for(spark, d), spark.createDataFrame(_SHOPS, "store_id string, platform string, url string")
+    ask = offers.direct_lookups(products.select("product_id", "search_terms"), shops, LEXICON).filter(F.col("kind") != offers.INFERRED)
+    ld = lambda price, stock: _text('<script type="application/ld+json">{"@type":"Product","name":"x","offers":{"price":', price, ',"availability":"', stock, '"}}</script>')
+    shopify = _text('{"product":{"title":"', F.col("name"), '","options":[{"name":"Color"}],"variants":[{"option1":"', F.when(F.col("id") % 9 == 0, "Black").otherwise(""), '","price":"', F.col("price"), '"}]}}')
+    page = F.when(F.col("size") % 2 == 0, ld(F.col("price"), F.lit("OutOfStock"))).otherwise(_text('<i class="delivery-status-indicator is-available">{"productPrice":"', F.floor("price"), '"}'))
+    answers = ask.join(products, "product_id").join(shops.drop("url"), "store_id").select(
+        "product_id", "store_id", "search_terms", "ord", "platform", "address", F.when(F.col("platform") == "shopify", shopify).otherwise(page).alias("body"),
+        ld(F.lit("1"), F.when(F.col("id") % 4 == 0, "InStock").otherwise("OutOfStock")).alias("page"),
+    )
+    none = F.lit(None)
+    searched = products.crossJoin(shops.select("store_id")).select(  # a row per product and shop
+        "product_id", "store_id", F.lit(1.5).alias("price"), none.cast("boolean").alias("in_stock"), F.lit("/s").alias("product_url"), F.lit("x").alias("matched_name"), none.cast("string").alias("store_product_id"),
+        F.lit(60).alias("confidence"), none.cast("string").alias("error"))
+    return offers.direct_first(offers.direct(answers, LEXICON), searched).select("product_id", "store_id", "price", "in_stock", "error")
+
+
+@_(f"""WITH {PROBES}, half AS (SELECT *, seen_at < (SELECT max(seen_at) FROM probes) - INTERVAL 10 DAYS AS early FROM probes),
+flips AS (SELECT service, seen_at, early FROM (SELECT *, lag(status) OVER (PARTITION BY service ORDER BY seen_at, id) AS before FROM half) WHERE status = 'up' AND before IS DISTINCT FROM 'up')
+SELECT service, arg_max(status, (seen_at, id)) AS last_status, max(seen_at) AS last_checked, (SELECT max(f.seen_at) FROM flips f WHERE f.service = half.service AND f.early) AS last_notified FROM half GROUP BY service""")
+def probe_record(spark, d):
+    """Probes in two runs; notices went out in the first only, and their times stay."""
+    rows = A.probes(spark, d)
+    last = rows.agg(F.max("at")).first()[0]
+    early = F.col("at") < F.lit(last - timedelta(days=10))
+    empty = spark.createDataFrame([], "service long, last_status string, last_checked timestamp_ntz, last_notified timestamp_ntz")
+    first = state.record_probes(empty, rows.filter(early), state.probe_flips(rows.filter(early)))
+    return state.record_probes(first, rows.filter(~early), state.probe_flips(rows).limit(0))
+
+
+@_(f"""WITH {SUMMARY}, ids AS (SELECT product_id, string_agg(store_id::VARCHAR, ' ' ORDER BY price, store_id) AS ids FROM offers WHERE price IS NOT NULL GROUP BY 1)
+SELECT id, best_price, store_count, in_stock, coalesce(ids, '') AS store_ids, (SELECT max(day) FROM offers o WHERE o.product_id = id)::TIMESTAMP AS refreshed_at FROM summary LEFT JOIN ids ON product_id = id""")
+def offer_listing(spark, d):
+    found = A.offers(spark, d)
+    rows = pricing.offer_listing(A.products(spark, d), found, A.catalogue_state(spark, d), found.select("product_id", F.col("day").cast("timestamp_ntz").alias("refreshed_at")))
+    return rows.select("id", "best_price", "store_count", "in_stock", F.array_join(F.transform("store_ids", lambda s: s.cast("string")), " ").alias("store_ids"), "refreshed_at")
+
+
+@_(f"WITH {_BARE} SELECT page_id, sha256(trim(regexp_replace({_decoded("regexp_replace(html, '(?s)<[^>]*>', ' ', 'g')")}, '[\\s\\x{{A0}}]+', ' ', 'g'))) AS text_sha256 FROM h")
+def page_texts(spark, d):
+    """The plain text of every page."""
+    return table(spark, d, "pages").select("page_id", F.sha2(extract.plain(F.col("html")), 256).alias("text_sha256"))

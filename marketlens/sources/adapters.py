@@ -51,7 +51,8 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
 def offers(spark: SparkSession, d: str) -> DataFrame:
     """The current offer of each product and store: latest day, then lowest price, order and line.
 
-    One maximum over a struct: partial sums before the only shuffle, no sort.
+    One maximum over a struct: one shuffle, of a row per key and task. Spark keeps structs in sorted aggregation, so a
+    task sorts its rows by key.
     """
     latest = F.max(F.struct("day", (-F.col("price")).alias("p"), (-F.col("order_id")).alias("o"), (-F.col("line")).alias("l"), "price", "in_stock")).alias("m")
     return observations(spark, d).groupBy("product_id", "store_id").agg(latest).select("product_id", "store_id", "m.price", "m.day", "m.in_stock")
