@@ -30,6 +30,11 @@ def pivot_by_store(history: DataFrame, store_ids: list[int]) -> DataFrame:
     return pivoted.select("product_id", "day", *[F.col(str(s)).alias(f"store_{s}") for s in store_ids])
 
 
+def by_day(history: DataFrame) -> DataFrame:
+    """A row per product and day with prices, a map from store to price; any number of stores."""
+    return history.groupBy("product_id", "day").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("store_id", "price")))).alias("prices"))
+
+
 def global_minimum(history: DataFrame, stores: DataFrame) -> DataFrame:
     """The lowest positive price of each product over enabled stores: first day, then first store of equals."""
     enabled = stores.filter(F.coalesce("enabled", F.lit(True))).select("store_id")

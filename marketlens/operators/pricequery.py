@@ -43,7 +43,7 @@ def price_query(requests: DataFrame, records: DataFrame, live: DataFrame, stores
     old = pricing.mark_stale(cached.select("key", "search_terms").join(records, "key"), F.col("refreshed_at"), as_of)
     old = matching.nullify_bad_matches(old, lex).select("key", "store_id", "price", "in_stock", "error", pricing.flag("suspicious").alias("suspicious"), pricing.flag("overpriced").alias("overpriced"), "stale", F.lit(True).alias("from_cache"))
     open_ = requests.join(cached.select("key"), "key", "left_anti").select("key", "search_terms")
-    grid = open_.withColumn("store_id", F.explode(F.array(*[F.lit(r[0]) for r in stores.filter("enabled").select("store_id").orderBy("store_id").collect()])))  # a small dimension
+    grid = open_.crossJoin(stores.filter("enabled").select("store_id"))  # the grid is the result; Spark picks the join by size
     new = grid.join(live.withColumn("there", F.lit(True)), ["key", "store_id"], "left")
     new = matching.nullify_bad_matches(new.withColumn("error", F.when(F.col("there").isNull(), FAILED).otherwise(F.col("error"))), lex)
     new = pricing.flag_outliers(new.withColumnRenamed("key", "product_id")).withColumnRenamed("product_id", "key")

@@ -49,7 +49,7 @@ def price_summary(offers: DataFrame) -> DataFrame:
 
 def best_store(offers: DataFrame) -> DataFrame:
     """The cheapest store of each product over prices without flags; of equal prices the last store."""
-    best = F.min(F.struct("price", (-F.col("store_id")).alias("s"), "store_id")).alias("b")
+    best = F.max(F.struct((-F.col("price")).alias("p"), "store_id", "price")).alias("b")  # ids may be texts
     return offers.filter(PREDICATES["v4"]()).groupBy("product_id").agg(best).select("product_id", F.col("b.price").alias("best_price"), F.col("b.store_id").alias("best_store"))
 
 

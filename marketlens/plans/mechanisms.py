@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.lexicon import LexiconTables
-from marketlens.operators import dictionary, discovery, extract, matching, offers, pagetree, pricequery, pricing, search, searchindex, state
+from marketlens.operators import dictionary, discovery, extract, history, matching, offers, pagetree, pricequery, pricing, search, searchindex, state
 from marketlens.operators.growing import GrowingClasses
 from marketlens.plans.catalogue import AS_OF, HISTORY, LEXICON, MATCH, NAMES, OFFERS, PROBES, PRODUCTS, STATE, SUMMARY, TRENDS, _keyed
 from marketlens.plans.market import _RECORDS, REGISTRY, P, _parts, _records, _text
@@ -425,3 +425,17 @@ def offer_listing(spark, d):
 def page_texts(spark, d):
     """The plain text of every page."""
     return table(spark, d, "pages").select("page_id", F.sha2(extract.plain(F.col("html")), 256).alias("text_sha256"))
+
+
+@_(f"""WITH {_STREAM} SELECT product_id, subscriber, threshold, CASE WHEN (product_id, subscriber) IN (SELECT (product_id, subscriber) FROM n1) THEN {AS_OF}::TIMESTAMP
+  WHEN (product_id, subscriber) IN (SELECT (product_id, subscriber) FROM n2) THEN {AS_OF}::TIMESTAMP + INTERVAL 1 HOUR ELSE last_notified END AS last_notified FROM a""")
+def stream_refresh_alerts(spark, d):
+    return _streamed(spark, d).alerts.read()
+
+
+@_(f"WITH {HISTORY} SELECT product_id, day, string_agg(store_id || '=' || price::DECIMAL(14,2), ' ' ORDER BY store_id) AS prices FROM history GROUP BY product_id, day")
+def history_by_day(spark, d):
+    """Every store of each product and day."""
+    rows = history.by_day(A.history(spark, d))
+    text = F.transform(F.map_entries("prices"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("decimal(14,2)").cast("string")))
+    return rows.select("product_id", "day", F.array_join(text, " ").alias("prices"))
