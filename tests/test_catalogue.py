@@ -167,3 +167,17 @@ def test_spec_sections(spark):
     df = spark.createDataFrame([(1, [("Display: Size", "6.1"), ("Weight", "1kg"), ("Display: Type", "OLED")])], "id long, specs array<struct<k:string,v:string>>")
     out = {r.section: [(i.k, i.v) for i in r["items"]] for r in extract.spec_sections(df).collect()}
     assert out == {"Display": [("Size", "6.1"), ("Type", "OLED")], "Tjera": [("Weight", "1kg")]}
+
+
+def test_best_store_takes_text_ids_and_the_last_of_equals(spark):
+    rows = spark.createDataFrame([(1, "a", 5.0), (1, "b", 5.0), (1, "c", 6.0), (2, "a", None)], "product_id long, store_id string, price double").withColumns({"suspicious": F.lit(False), "overpriced": F.lit(False)})
+    assert [(r.product_id, r.best_price, r.best_store) for r in pricing.best_store(rows).collect()] == [(1, 5.0, "b")]
+
+
+def test_listing_names_stores_cheapest_first(spark):
+    products = spark.createDataFrame([(1, "n", "b", "c", "s"), (2, "m", "b", "c", "s")], "id long, family string, brand string, category string, subcategory string")
+    offers = spark.createDataFrame([(1, "x", 5.0, True), (1, "y", 4.0, None), (1, "z", None, True)], "product_id long, store_id string, price double, in_stock boolean")
+    known = spark.createDataFrame([], "product_id long, lowest_price double, store_count long, status string")
+    seen = spark.createDataFrame([(1, datetime(2024, 1, 2)), (1, datetime(2024, 1, 1))], "product_id long, refreshed_at timestamp")
+    out = {r.id: (r.best_price, r.store_count, r.store_ids, r.refreshed_at) for r in pricing.offer_listing(products, offers, known, seen).collect()}
+    assert out == {1: (4.0, 2, ["y", "x"], datetime(2024, 1, 2)), 2: (None, 0, [], None)}
