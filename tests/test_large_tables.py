@@ -33,3 +33,9 @@ def test_doubtful_prices_among_the_hits_of_a_query(spark):
     found = spark.createDataFrame(rows, "product_id long, store_id long, search_terms array<string>, query string, query_ord int, pos int, name string, price double").selectExpr("*", "true AS in_stock", "'u' AS url", "'n' AS native_id", "string(null) AS error")
     found = found.replace({"a b": "ab cd", "a b c": "ab cd ef"}, subset=["query", "name"])
     assert {r.product_id: r.price for r in offers.choose(found, strict_colour=None, sanity=True).collect()} == {1: 100.0, 2: 5.0}
+
+
+def test_device_pages_are_parsed_once(spark, capsys):
+    rows = pages.device_pages(spark.createDataFrame([(1, "<p>", None)], "page_id long, html string, brand string"), ("Display",))
+    said = plan(rows, capsys).split("== Physical Plan ==")[0]
+    assert said.count("nfo[^") == 1 and said.count("specs-phone-name-title") == 1
