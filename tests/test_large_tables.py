@@ -39,3 +39,20 @@ def test_device_pages_are_parsed_once(spark, capsys):
     rows = pages.device_pages(spark.createDataFrame([(1, "<p>", None)], "page_id long, html string, brand string"), ("Display",))
     said = plan(rows, capsys).split("== Physical Plan ==")[0]
     assert said.count("nfo[^") == 1 and said.count("specs-phone-name-title") == 1
+
+
+def grid(spark):
+    products = spark.createDataFrame([(1,), (2,), (None,)], "product_id long")
+    stores = spark.createDataFrame([(1, True), (1, True), (2, True), (3, False), (None, True)], "store_id long, enabled boolean")
+    rows = spark.createDataFrame([(1, 1, 5.0, True), (1, 3, 6.0, True), (9, 1, 7.0, True), (2, 2, None, None)], "product_id long, store_id long, price double, in_stock boolean")
+    return products, stores, rows
+
+
+def test_grid_of_products_and_stores_is_not_shuffled(spark, capsys):
+    products, stores, rows = grid(spark)
+    found = pricing.with_missing_stores(products, stores, rows)
+    n, x = None, "not_found"
+    got = sorted(map(tuple, found.collect()), key=str)
+    assert got == sorted([(1, 1, 5.0, True, n), (1, 2, n, n, x), (1, n, n, n, x), (2, 2, n, n, n), (2, 1, n, n, x), (2, n, n, n, x), (n, 1, n, n, x), (n, 2, n, n, x), (n, n, n, n, x)], key=str)
+    above = plan(found, capsys).split("== Physical Plan ==")[1].split("BroadcastNestedLoopJoin")[0].split("Union")[1].rsplit("Generate", 1)
+    assert len(above) == 2 and "Exchange" not in above[1]
