@@ -56,3 +56,14 @@ def test_grid_of_products_and_stores_is_not_shuffled(spark, capsys):
     assert got == sorted([(1, 1, 5.0, True, n), (1, 2, n, n, x), (1, n, n, n, x), (2, 2, n, n, n), (2, 1, n, n, x), (2, n, n, n, x), (n, 1, n, n, x), (n, 2, n, n, x), (n, n, n, n, x)], key=str)
     above = plan(found, capsys).split("== Physical Plan ==")[1].split("BroadcastNestedLoopJoin")[0].split("Union")[1].rsplit("Generate", 1)
     assert len(above) == 2 and "Exchange" not in above[1]
+
+
+def test_prices_asked_for_where_stores_gave_nothing(spark):
+    _, stores, rows = grid(spark)
+    live = rows.selectExpr("string(product_id) AS key", "store_id", "price", "in_stock", "'a' AS matched_name", "'' AS product_url", "string(null) AS error")
+    records = live.limit(0).selectExpr("*", "false AS suspicious", "false AS overpriced", "timestamp'2020-01-01' AS refreshed_at")
+    requests = spark.createDataFrame([("1", ["a"], False), ("5", ["a"], None)], "key string, search_terms array<string>, force boolean")
+    from pyspark.sql import functions as F
+
+    found = pricequery.price_query(requests, records, live, stores, F.lit("2020-01-02").cast("timestamp"))
+    assert sorted((r.key, r.store_id or 0, r.price, r.error) for r in found.collect()) == [("1", 0, None, "search_failed"), ("1", 1, 5.0, None), ("1", 2, None, "search_failed"), *[("5", s, None, "search_failed") for s in (0, 1, 2)]]
