@@ -67,3 +67,14 @@ def test_prices_asked_for_where_stores_gave_nothing(spark):
 
     found = pricequery.price_query(requests, records, live, stores, F.lit("2020-01-02").cast("timestamp"))
     assert sorted((r.key, r.store_id or 0, r.price, r.error) for r in found.collect()) == [("1", 0, None, "search_failed"), ("1", 1, 5.0, None), ("1", 2, None, "search_failed"), *[("5", s, None, "search_failed") for s in (0, 1, 2)]]
+
+
+def test_batches_of_the_refresh_may_be_many_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables = mechanisms._streamed(spark, D)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    path = tables.path.removeprefix("file:")
+    assert len(glob.glob(os.path.join(path, "offers", "part-*"))) > 8
+    assert {r.batch for r in tables.notices().select("batch").distinct().collect()} == {0, 1}
