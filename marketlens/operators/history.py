@@ -26,8 +26,7 @@ def range_scan(history: DataFrame, product_id: int, days: int, as_of: Column) ->
 
 def pivot_by_store(history: DataFrame, store_ids: list[int]) -> DataFrame:
     """A row per product and day, a column per listed store; no extra job to find the stores."""
-    pivoted = history.groupBy("product_id", "day").pivot("store_id", store_ids).agg(F.min("price"))
-    return pivoted.select("product_id", "day", *[F.col(str(s)).alias(f"store_{s}") for s in store_ids])
+    return history.groupBy("product_id", "day").agg(*[F.min(F.when(F.col("store_id") == s, F.col("price"))).alias(f"store_{s}") for s in store_ids])
 
 
 def by_day(history: DataFrame) -> DataFrame:

@@ -78,3 +78,12 @@ def test_batches_of_the_refresh_may_be_many_files(spark):
     path = tables.path.removeprefix("file:")
     assert len(glob.glob(os.path.join(path, "offers", "part-*"))) > 8
     assert {r.batch for r in tables.notices().select("batch").distinct().collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("stores", [[1, 2], [7]])
+def test_pivot_adds_up_in_place(spark, capsys, stores):
+    rows = spark.createDataFrame([(1, "d", 1, 5.0), (1, "d", 1, 4.0), (1, "d", 2, None), (2, "d", 9, 1.0)], "product_id long, day string, store_id long, price double")
+    found = history.pivot_by_store(rows, stores)
+    assert "pivotfirst" not in plan(found, capsys).lower()
+    expected = {(1, "d", 4.0, None), (2, "d", None, None)} if stores == [1, 2] else {(1, "d", None), (2, "d", None)}
+    assert set(map(tuple, found.collect())) == expected
