@@ -5,7 +5,8 @@ lie between ASCII word characters and others, so a fitting term is a run of whol
 segments, the text being cut at every boundary. Runs as long as some term has
 segments are exploded and joined to the terms by equality, and the term that is
 first in the order of the table decides. The plan does not grow with the table;
-a table is broadcast only while it is counted to be small.
+a table is broadcast only while it is counted to be small, and what comes of the
+texts never is.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
+from marketlens.functions.rows import unbroadcast
 
 #: Terms up to which their table is broadcast.
 BROADCAST_TERMS = 200_000
@@ -57,7 +59,7 @@ def first_entries(texts: DataFrame, lexicon: DataFrame, fold=ascii_lower) -> Dat
         return texts.select("key", F.lit(None).cast("long").alias("ord")).limit(0)
     found = texts.select("key", F.explode(runs(fold(F.col("text")), sizes)).alias("word"))
     terms = terms.drop("size")
-    hits = found.join(F.broadcast(terms) if n <= BROADCAST_TERMS else terms, "word")
+    hits = found.join(F.broadcast(terms), "word") if n <= BROADCAST_TERMS else unbroadcast(found).join(terms, "word")
     return hits.groupBy("key").agg(F.min("ord").alias("ord"))
 
 
@@ -65,7 +67,7 @@ def entries(texts: DataFrame, lexicon: DataFrame, *columns: str, fold=ascii_lowe
     """key and columns of the lexicon's entry that decides each text. Rows that share an ord are one entry: the values of its least word."""
     best = first_entries(texts, lexicon, fold)
     values = lexicon.groupBy(F.col("ord").cast("long").alias("ord")).agg(*[F.min_by(c, "word").alias(c) for c in columns])
-    return best.join(values, "ord").select("key", *columns)
+    return unbroadcast(best).join(values, "ord").select("key", *columns)
 
 
 def first_words(texts: DataFrame, generic: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def first_words(texts: DataFrame, generic: DataFrame) -> DataFrame:
     stop = generic.select(F.lower("word").alias("stop")).filter("stop is not null").distinct()
     rows = rows.join(stop, F.regexp_replace(F.lower("first_word"), T.MARKS, "") == F.col("stop"), "left_anti")
     least = rows.groupBy("key").agg(F.min("at").alias("at"))
-    back = texts.select("key", words.alias("words")).join(least, "key")
+    back = texts.select("key", words.alias("words")).join(unbroadcast(least), "key")
     return back.select("key", F.get("words", F.col("at")).alias("first_word"))
 
 
@@ -85,7 +87,7 @@ def brands(names: DataFrame, known: DataFrame, generic: DataFrame) -> DataFrame:
     names: key (unique), text, vendor; known: ord, word; generic: word.
     """
     texts = names.select("key", "text")
-    found = names.join(entries(texts, known.withColumn("brand", F.col("word")), "brand"), "key", "left").join(first_words(texts, generic), "key", "left")
+    found = names.join(unbroadcast(entries(texts, known.withColumn("brand", F.col("word")), "brand")), "key", "left").join(unbroadcast(first_words(texts, generic)), "key", "left")
     maker = F.when(F.col("text").rlike(rf"(?i)^\s*(u-)?(ps[45]|playstation\s*[45]){T.B}"), "Sony").when(F.col("text").rlike(rf"(?i)^\s*xbox{T.B}"), "Microsoft")
     vendor = F.when(~F.col("vendor").isin("Others", "Unknown", ""), F.col("vendor"))
     return found.select("key", F.coalesce(vendor, "brand", maker, "first_word", F.lit("Unknown")).alias("brand"))
@@ -93,6 +95,6 @@ def brands(names: DataFrame, known: DataFrame, generic: DataFrame) -> DataFrame:
 
 def categories(texts: DataFrame, rules: DataFrame, default: tuple[str, str] = ("tjera", "Other")) -> DataFrame:
     """key, category, subcategory of each text by the first rule a word of which it holds. texts: key (unique), text; rules: ord, category, subcategory, word."""
-    found = texts.select("key").join(entries(texts, rules, "category", "subcategory", fold=F.lower), "key", "left")
+    found = texts.select("key").join(unbroadcast(entries(texts, rules, "category", "subcategory", fold=F.lower)), "key", "left")
     none = F.col("category").isNull()
     return found.select("key", F.when(none, default[0]).otherwise(F.col("category")).alias("category"), F.when(none, default[1]).otherwise(F.col("subcategory")).alias("subcategory"))

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from marketlens.operators import history, offers, pages, pricequery, pricing
+from marketlens.operators import dictionary, history, offers, pages, pricequery, pricing
 from marketlens.plans import market, mechanisms
 
 D = "/root/testdata/sf0.001"
@@ -87,3 +87,13 @@ def test_pivot_adds_up_in_place(spark, capsys, stores):
     assert "pivotfirst" not in plan(found, capsys).lower()
     expected = {(1, "d", 4.0, None), (2, "d", None, None)} if stores == [1, 2] else {(1, "d", None), (2, "d", None)}
     assert set(map(tuple, found.collect())) == expected
+
+
+def test_unfolded_texts_are_not_broadcast(spark, capsys, monkeypatch):
+    monkeypatch.setattr(dictionary, "BROADCAST_TERMS", 0)
+    names = spark.createDataFrame([(1, "big Ring x", None), (2, "W1-2 Ring", "Acme"), (3, None, None), (4, "red", None)], "key long, text string, vendor string")
+    known, generic = spark.createDataFrame([(1, "w1-2"), (2, "Ring")], "ord long, word string"), spark.createDataFrame([("red",)], "word string")
+    found = dictionary.brands(names, known, generic)
+    joins = [x for x in plan(found, capsys).split("== Physical Plan ==")[1].splitlines() if "BroadcastHashJoin" in x]
+    assert all("LeftAnti" in x for x in joins)
+    assert {r.key: r.brand for r in found.collect()} == {1: "Ring", 2: "Acme", 3: "Unknown", 4: "Unknown"}
