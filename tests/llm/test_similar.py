@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from marketlens.llm import simhash, similar
 from marketlens.llm.similar import similar_docs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,3 +67,23 @@ def test_one_large_group_and_nothing(spark):
     expected = brute_roots(rows)
     assert len(set(got)) == len(set(expected)) == len(set(zip(got, expected)))
     assert similar_docs(docs.limit(0)).collect() == []
+
+
+def test_components_of_fingerprints_are_verified_and_bitmaps_lose_nothing(spark, monkeypatch):
+    """Documents that share only a fingerprint's component stay apart; sets of many documents are chosen by a bitmap."""
+    rows = [(i, t) for i, t in planted() if t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_roots(rows)
+    near = docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "0L AS root")
+    monkeypatch.setattr(similar, "BROADCAST_NODES", 3)
+    for given in (None, near):
+        found = {(r.doc_id, r.text_hash): r.root for r in similar_docs(docs, near=given).collect()}
+        got = [found[(r.doc_id, r.text_hash)] for r in near.collect()]
+        assert len(set(got)) == len(set(expected)) == len(set(zip(got, expected, strict=True)))
+
+
+def test_stage_starts_from_fingerprints(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(similar, "near_duplicates", lambda docs: seen.append(1) or simhash.near_duplicates(docs))
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (3, "z", "en", "s", 1)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()) == [1, 3] and seen == [1]
