@@ -4,9 +4,14 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from marketlens.operators import dictionary, history, offers, pages, pricequery, pricing
+from marketlens.functions import lexicon
+from marketlens.functions import text as T
+from marketlens.functions.rows import spread
+from marketlens.operators import dictionary, history, matching, offers, pages, pricequery, pricing, querying, searchindex
 from marketlens.plans import market, mechanisms
+from marketlens.plans.catalogue import REGISTRY
 
 D = "/root/testdata/sf0.001"
 
@@ -97,3 +102,7 @@ def test_unfolded_texts_are_not_broadcast(spark, capsys, monkeypatch):
     joins = [x for x in plan(found, capsys).split("== Physical Plan ==")[1].splitlines() if "BroadcastHashJoin" in x]
     assert all("LeftAnti" in x for x in joins)
     assert {r.key: r.brand for r in found.collect()} == {1: "Ring", 2: "Acme", 3: "Unknown", 4: "Unknown"}
+
+
+def test_siblings_are_found_in_many_tasks(spark):
+    assert REGISTRY.queries["siblings"](spark, D).rdd.getNumPartitions() >= 8
