@@ -117,7 +117,8 @@ def _spec_page():
 SELECT id AS page_id, unnest([head || 'Size', head || 'Name', 'Weight', 'Colour', 'Price']) AS k, unnest([size || ' in', name, size || ' kg', name, price::VARCHAR]) AS v FROM s""")
 def tree_specs(spark, d):
     """Specifications of pages with nested tables; of equal keys the last counts."""
-    found = pagetree.elements(_parts(spark, d).select(F.col("id").alias("page_id"), _spec_page().alias("html")), classes=("product-attributes", "attr-label", "attr-value"))
+    pages = _parts(spark, d).select(F.col("id").alias("page_id"), _spec_page().alias("html"))
+    found = pagetree.by_page(pagetree.elements(pages, classes=("product-attributes", "attr-label", "attr-value")))
     attributes = pagetree.attribute_specs(found, (("product-attributes", "li", (".attr-label", "th"), (".attr-value", "td")),))
     return pagetree.last_said(pagetree.table_specs(found).unionByName(pagetree.definition_specs(found)).unionByName(attributes))
 

@@ -106,3 +106,16 @@ def test_unfolded_texts_are_not_broadcast(spark, capsys, monkeypatch):
 
 def test_siblings_are_found_in_many_tasks(spark):
     assert REGISTRY.queries["siblings"](spark, D).rdd.getNumPartitions() >= 8
+
+
+def parsed_once(spark, capsys, rows):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        said = plan(rows(), capsys).split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return said.count("MapInArrow") == 1 and "ReusedExchange" in said
+
+
+def test_pages_of_several_rules_are_parsed_once(spark, capsys):
+    assert parsed_once(spark, capsys, lambda: mechanisms.tree_specs(spark, D))
