@@ -247,7 +247,7 @@ def cards(pages: DataFrame, holders: tuple[str, ...] = ("product-box", "product-
 
 def device_specs(pages: DataFrame, title: str = "specs-phone-name-title", label: str = "ttl", info: str = "nfo") -> DataFrame:
     """page_id, name, section, k, v of device pages that have a name: rows with a label and an information cell; a heading holds until the next one."""
-    found = elements(pages, ("table", "tr", "td", "th"), (title,))
+    found = by_page(elements(pages, ("table", "tr", "td", "th"), (title,)))
     names = found.filter(has_class(F.col("attrs")["class"], title)).groupBy("page_id").agg(F.min_by(_said(F.col("text")), "at").alias("name")).filter("name <> ''")
     rows = table_rows(found)
     text = lambda keep: _said(F.array_join(F.transform(F.filter("cells", keep), lambda c: c["text"]), ""))

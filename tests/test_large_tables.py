@@ -158,3 +158,7 @@ def test_texts_without_numeric_entities_are_not_cut(spark, capsys):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.decoded_entities(F.col("t")).alias("t"))
     assert "&#)" in plan(rows, capsys).split("== Physical Plan ==")[0]
     assert [r.t for r in rows.collect()] == ["a & b", "A€", "&#0;&#55296;x&#x41;", "&#", "", None, "&#65;"]
+
+
+def test_device_trees_are_parsed_once(spark, capsys):
+    assert parsed_once(spark, capsys, lambda: mechanisms.tree_device(spark, D))
