@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import text as T
+from marketlens.functions.rows import once
 
 TAGS = ("table", "tr", "td", "th", "dl", "dt", "dd", "ul", "ol", "li", "a", "img", "meta", "title", "h1", "h2", "h3")
 #: Elements without content.
@@ -225,17 +226,19 @@ def cards(pages: DataFrame, holders: tuple[str, ...] = ("product-box", "product-
     link; a card without a link in or around it is left out. Digits alone make a
     price, dots stand between thousands.
     """
-    found = elements(pages, ("a", "img", "h2", "h3"), (*holders, *names, *prices))
+    found = by_page(elements(pages, ("a", "img", "h2", "h3"), (*holders, *names, *prices))).filter("page_id is not null")  # by every rule, or their shuffles would differ
     of = lambda column, classes: F.exists(F.split(F.coalesce(column, F.lit("")), r"\s+"), lambda c: c.isin(*classes))
     boxes = found.filter(of(F.col("attrs")["class"], holders)).select("page_id", F.col("at").alias("box"), F.try_element_at(F.filter("around", lambda a: a["tag"] == "a")["at"], F.lit(-1)).alias("outer"))
     held = F.filter("around", lambda a: of(a["class"], holders))["at"]
     inner = found.select("page_id", "at", "tag", "attrs", _said(F.col("text")).alias("text"), F.explode(held).alias("box"))
     own = F.col("attrs")["class"]
-    is_name, is_link = of(own, names) | F.col("tag").isin("h2", "h3"), (F.col("tag") == "a") & F.col("attrs")["href"].contains("/")
-    first = lambda value, when: F.min_by(F.when(when, value), F.when(when, F.col("at")))
+    inner = once(  # each told once for an element, not for every column that asks
+        inner, is_name=of(own, names) | F.col("tag").isin("h2", "h3"), is_link=(F.col("tag") == "a") & F.col("attrs")["href"].contains("/"), is_image=F.col("tag") == "img",
+        is_price=of(own, prices), href=F.col("attrs")["href"], src=F.coalesce(F.nullif(F.col("attrs")["src"], F.lit("")), F.col("attrs")["data-src"]),
+    ).drop("attrs").filter("is_name or is_link or is_image or is_price")
+    first = lambda value, when: F.min_by(F.when(F.col(when), F.col(value)), F.when(F.col(when), F.col("at")))
     told = inner.groupBy("page_id", "box").agg(
-        first(F.col("text"), is_name).alias("named"), first(F.col("text"), is_link).alias("linked"), first(F.col("attrs")["href"], is_link).alias("href"),
-        first(F.coalesce(F.nullif(F.col("attrs")["src"], F.lit("")), F.col("attrs")["data-src"]), F.col("tag") == "img").alias("image"), first(F.col("text"), of(own, prices)).alias("priced"),
+        first("text", "is_name").alias("named"), first("text", "is_link").alias("linked"), first("href", "is_link").alias("href"), first("src", "is_image").alias("image"), first("text", "is_price").alias("priced"),
     )
     links = found.filter("tag = 'a'").select("page_id", F.col("at").alias("outer"), F.col("attrs")["href"].alias("outer_href"))
     rows = boxes.join(told, ["page_id", "box"], "left").join(links, ["page_id", "outer"], "left")

@@ -162,3 +162,7 @@ def test_texts_without_numeric_entities_are_not_cut(spark, capsys):
 
 def test_device_trees_are_parsed_once(spark, capsys):
     assert parsed_once(spark, capsys, lambda: mechanisms.tree_device(spark, D))
+
+
+def test_cards_of_trees_are_parsed_once(spark, capsys):
+    assert parsed_once(spark, capsys, lambda: market.card_source(spark, D))
