@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketlens.functions.rows import spread
+
 GRAM = 3
 PARTS = 64
 #: Queries of a batch up to which their grams are broadcast.
@@ -57,7 +59,8 @@ def build(products: DataFrame, path: str) -> SearchIndex:
     products.write.parquet(f"{path}/products")
     index, spark = SearchIndex(path), products.sparkSession
     every = F.array_distinct(F.flatten(F.array(*[_grams(f, n) for f in _fields() for n in range(1, GRAM + 1)])))
-    rows = index.products(spark).select("id", F.explode(every).alias("gram")).withColumn("part", _part(F.col("gram")))
+    products = spread(index.products(spark), "id")  # their file may be one task
+    rows = products.select("id", F.explode(every).alias("gram")).withColumn("part", _part(F.col("gram")))
     # rebalance keeps a common gram from becoming one task and one file
     rows.hint("rebalance", "part").sortWithinPartitions("part", "gram", "id").write.partitionBy("part").parquet(f"{path}/postings")
     index.postings(spark).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts")

@@ -166,3 +166,11 @@ def test_device_trees_are_parsed_once(spark, capsys):
 
 def test_cards_of_trees_are_parsed_once(spark, capsys):
     assert parsed_once(spark, capsys, lambda: market.card_source(spark, D))
+
+
+def test_grams_of_one_file_are_made_in_many_tasks(spark, tmp_path, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(searchindex, "spread", lambda rows, *by: dealt.append(spread(rows, *by)) or dealt[0])
+    products = spark.range(3).selectExpr("id", "'Red bolt' AS family", "'B' AS brand", "'1' AS model_number", "array('red bolt') AS search_terms").coalesce(1)
+    index = searchindex.build(products, f"file://{tmp_path}/index")
+    assert dealt[0].rdd.getNumPartitions() >= 8 and index.postings(spark).filter("gram = 'bol'").count() == 3
