@@ -29,6 +29,8 @@ CONFIDENT = 0.95
 BINS = 12
 #: Slots of hashed words; a document has a bit for each.
 WORD_SLOTS = 4096
+#: Rows whose word bits are unpacked at once: 2 MB of them.
+BITS_ROWS = 512
 #: A word slot counts beyond as many standard deviations of what chance explains.
 DEVIATIONS = 3.0
 #: Share of the labels, in fifths, that calibrates and is not fitted to.
@@ -113,11 +115,13 @@ SHAPES = len(TEXT_FEATURES) * BINS
 WIDTH = {"text": SHAPES + WORD_SLOTS, "meta": SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS}
 
 
-def _text_matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Shape features and word bits of each row."""
-    shapes = batch.column("text").flatten().to_numpy().reshape(batch.num_rows, -1)
-    words = np.unpackbits(np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
-    return shapes, words
+def _text_matrices(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """BITS_ROWS rows at a time: where they are in the batch, their shape features and their word bits."""
+    for at in range(0, batch.num_rows, BITS_ROWS):
+        part = batch.slice(at, BITS_ROWS)
+        shapes = part.column("text").flatten().to_numpy().reshape(part.num_rows, -1)
+        words = np.unpackbits(np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
+        yield slice(at, at + part.num_rows), shapes, words.view(bool)
 
 
 def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +129,12 @@ def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, WIDTH["text"] + 1), np.int64)
     for batch in batches:
         y = batch.column("y").to_numpy()
-        shapes, words = _text_matrix(batch)
-        for c in (0, 1):
-            own = y == c
-            counts[c, :SHAPES] += np.bincount(shapes[own].reshape(-1), minlength=SHAPES)
-            counts[c, SHAPES:-1] += words[own].sum(axis=0, dtype=np.int64)
-            counts[c, -1] += int(own.sum())
+        for rows, shapes, words in _text_matrices(batch):
+            for c in (0, 1):
+                own = y[rows] == c
+                counts[c, :SHAPES] += np.bincount(shapes[own].reshape(-1), minlength=SHAPES)
+                counts[c, SHAPES:-1] += words[own].sum(axis=0, dtype=np.int64)
+                counts[c, -1] += int(own.sum())
     y, f = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(counts[y, f])], names=["f", "y", "n"])
 
@@ -174,10 +178,13 @@ def with_text_odds(rows: DataFrame, weights: list[float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.array(weights)
+        content = own[SHAPES:-1]
         for batch in batches:
-            shapes, words = _text_matrix(batch)
-            content = words @ own[SHAPES:-1] / np.sqrt(1.0 + words @ (own[SHAPES:-1] != 0))  # words of one text are not independent
-            odds = own[-1] + own[shapes].sum(axis=1) + content
+            odds = np.zeros(batch.num_rows)
+            for rows, shapes, words in _text_matrices(batch):
+                doc, slot = np.nonzero(words)
+                total, used = (np.bincount(doc, w[slot], len(words)) for w in (content, content != 0))
+                odds[rows] = own[-1] + own[shapes].sum(axis=1) + total / np.sqrt(1.0 + used)  # words of one text are not independent
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(odds)], names=[*names, "text_odds"])
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in names) + ", text_odds double"
