@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.lexicon import LexiconTables
+from marketlens.functions.rows import tasks_for
 from marketlens.operators import dictionary, discovery, extract, history, matching, offers, pagetree, pricequery, pricing, search, searchindex, state
 from marketlens.operators.growing import GrowingClasses
 from marketlens.plans.catalogue import AS_OF, HISTORY, LEXICON, MATCH, NAMES, OFFERS, PROBES, PRODUCTS, STATE, SUMMARY, TRENDS, _keyed
@@ -246,14 +247,15 @@ def _streamed(spark: SparkSession, d: str) -> RefreshTables:
     """The tables after the stream has read both batches; a tenth of the mappings was approved before."""
     store, product = F.col("store_id"), F.col("product_id")
     lost, now = store % 7 == 0, A.as_of(spark, d).cast("timestamp")
-    rows = A.offers(spark, d).select(
+    tasks = tasks_for(spark, table(spark, d, "lineitem").count())
+    rows = A.offers(spark, d, tasks).select(
         "product_id", "store_id", F.when(~lost, F.col("price")).alias("price"), "in_stock", F.when(lost, F.when(product % 3 == 0, "not_found").otherwise("timeout")).alias("error"),
         F.when(store % 3 == 0, _text("n", product)).alias("store_product_id"), F.least(F.lit(100), "store_id").cast("double").alias("confidence"), (store % 5 == 0).alias("suspicious"), F.lit(False).alias("overpriced"), now.alias("at"),
     )
     path = _path(spark, "refresh")
     tables = RefreshTables(spark, path)
     approved = rows.filter("store_product_id is not null and product_id % 10 = 1").select("store_id", "store_product_id", F.lit(-1).cast("long").alias("product_id"), F.lit(1).alias("confidence"), F.lit("approved").alias("status"))
-    tables.load(A.catalogue_state(spark, d), approved, A.alerts(spark, d))
+    tables.load(A.catalogue_state(spark, d), approved, A.alerts(spark, d, tasks))
     later = rows.filter((product % 2 == 1) | (product % 10 == 0)).withColumns({"price": F.col("price") - 1, "at": F.col("at") + F.expr("INTERVAL 1 HOUR")})
     for batch in (rows.filter(product % 2 == 0), later):  # what is there when the stream starts again is one batch, in however many files
         batch.write.mode("append").parquet(f"{path}/offers")

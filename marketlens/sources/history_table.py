@@ -12,6 +12,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.functions.rows import dealt
 from marketlens.operators import history
 from marketlens.sources.shared import file_system
 
@@ -38,18 +39,20 @@ class HistoryTable:
             return self.spark.createDataFrame([], self.schema).select("product_id", "day", "store_id", "price")
         return self.spark.read.schema(self.schema).parquet(self.path).select("product_id", "day", "store_id", "price")
 
-    def upsert(self, new: DataFrame, as_of: date) -> list[date]:
+    def upsert(self, new: DataFrame, as_of: date, tasks: int | None = None) -> list[date]:
         """New prices replace those of the same product, day and store; days out of retention are not written, and dropped where they are. Returns the days rewritten.
 
         Of repeated keys in ``new`` the lowest price counts (null after all
         others). A failed job leaves the table as it was: files are staged and
-        put in place when all are written.
+        put in place when all are written. tasks: to how many tasks the join is
+        dealt out; Spark decides without it.
         """
+        key = ("product_id", "day", "store_id")
         oldest = as_of - timedelta(days=self.keep_days)
-        new = new.filter(F.col("day") >= F.lit(oldest)).groupBy("product_id", "day", "store_id").agg(F.min("price").alias("price"))
+        new = dealt(new.filter(F.col("day") >= F.lit(oldest)), tasks, *key).groupBy(*key).agg(F.min("price").alias("price"))
         touched = [r.day for r in new.select("day").distinct().collect()]  # no more than keep_days and those ahead
         if touched:
-            rows = history.upsert(self.read().filter(F.col("day").isin(touched)), new)
+            rows = history.upsert(dealt(self.read().filter(F.col("day").isin(touched)), tasks, *key), new)
             # a day may be large: rebalance splits it into files of even size, and joins small ones
             rows.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
         self.prune(as_of)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from marketlens.functions.rows import tasks_for
 from marketlens.operators import pricequery
 from marketlens.sources.history_table import HistoryTable
 from marketlens.sources.shared import file_system
@@ -43,17 +44,19 @@ class RefreshTables:
         """One batch of offers: product_id, store_id, price, in_stock, error, store_product_id, confidence, suspicious, overpriced, at. An empty batch changes nothing."""
         offers = offers.persist()
         try:
-            now = offers.agg(F.max("at")).first()[0]
+            now, n = offers.agg(F.max("at"), F.count(F.lit(1))).first()
             if now is None:
                 return
             at = F.lit(now).cast("timestamp_ntz")
             tables = {"history": self.spark.createDataFrame([], self.history.schema).select("product_id", "day", "store_id", "price"), "state": self.state.read(), "mappings": self.mappings.read(), "alerts": self.alerts.read()}
-            found = pricequery.refresh(offers, tables, at)
+            day = self.history.read().filter(F.col("day") == F.lit(now.date()))
+            tasks = tasks_for(self.spark, n, day.count(), *(tables[t].count() for t in ("state", "mappings", "alerts")))
+            found = pricequery.refresh(offers, tables, at, tasks)
             if self.alerts.batch() < batch:
                 due = found["due"].select("product_id", "subscriber", "threshold", "lowest_price", at.alias("at"))
                 due.write.mode("overwrite").parquet(f"{self.path}/notices/batch={batch}")
                 found["errors"].write.mode("overwrite").parquet(f"{self.path}/errors/batch={batch}")
-            self.history.upsert(offers.select("product_id", at.cast("date").alias("day"), "store_id", "price"), now.date())
+            self.history.upsert(offers.select("product_id", at.cast("date").alias("day"), "store_id", "price"), now.date(), tasks)
             for name in ("state", "mappings", "alerts"):  # alerts last: they tell that the batch is done
                 table = getattr(self, name)
                 if table.batch() < batch:
