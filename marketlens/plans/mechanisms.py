@@ -255,7 +255,7 @@ def _streamed(spark: SparkSession, d: str) -> RefreshTables:
     path = _path(spark, "refresh")
     tables = RefreshTables(spark, path)
     approved = rows.filter("store_product_id is not null and product_id % 10 = 1").select("store_id", "store_product_id", F.lit(-1).cast("long").alias("product_id"), F.lit(1).alias("confidence"), F.lit("approved").alias("status"))
-    tables.load(A.catalogue_state(spark, d), approved, A.alerts(spark, d, tasks))
+    tables.load(A.catalogue_state(spark, d, tasks), approved, A.alerts(spark, d, tasks))
     later = rows.filter((product % 2 == 1) | (product % 10 == 0)).withColumns({"price": F.col("price") - 1, "at": F.col("at") + F.expr("INTERVAL 1 HOUR")})
     for batch in (rows.filter(product % 2 == 0), later):  # what is there when the stream starts again is one batch, in however many files
         batch.write.mode("append").parquet(f"{path}/offers")

@@ -49,5 +49,5 @@ def test_dealt_and_undealt_agree(spark):
     plain, dealt = (pricequery.refresh(offers, tables, F.lit(NOW).cast("timestamp_ntz"), n) for n in (None, 13))
     for name in plain:
         assert sorted(map(str, plain[name].collect())) == sorted(map(str, dealt[name].collect())), name
-    for adapter in (A.offers, A.alerts):
+    for adapter in (A.offers, A.alerts, A.catalogue_state):
         assert sorted(map(str, adapter(spark, SF).collect())) == sorted(map(str, adapter(spark, SF, 5).collect()))
