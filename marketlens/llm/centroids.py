@@ -110,6 +110,11 @@ def squared(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.stack([((v - c) ** 2).sum(axis=1) for c in centroids], axis=1)
 
 
+def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """The rows dealt out by the number of their bucket: one task writes a bucket, into one file, however many tasks there are."""
+    return df.repartitionById(buckets, F.pmod(F.hash("row"), F.lit(buckets)))
+
+
 def bucketed(df: DataFrame, buckets: int, name: str) -> tuple[str, str]:
     """(table, path) of the rows, bucketed by ``row`` in the shared folder."""
     table, path = f"{name}_{uuid.uuid4().hex}", scratch_path(df.sparkSession, name)
@@ -216,8 +221,8 @@ def clustered(rows: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, s
     sample = rows.orderBy(F.xxhash64("row")).limit(SAMPLE).select("v").toArrow()  # bounded
     edges = cell_edges(matrix(sample.column("v").combine_chunks(), width))
     buckets = buckets or max(1, -(-n * width * 4 // BUCKET_BYTES), min(2 * spark.sparkContext.defaultParallelism, n // 1_024))
-    vectors = bucketed(rows.select("row", "v").repartition(buckets, "row"), buckets, "vectors")
-    cells = bucketed(approximated(rows, edges).repartition(buckets, "row"), buckets, "cells")
+    vectors = bucketed(by_bucket(rows.select("row", "v"), buckets), buckets, "vectors")
+    cells = bucketed(by_bucket(approximated(rows, edges), buckets), buckets, "cells")
     state = bucketed(spark.table(cells[0]).select("row", F.lit(-1).alias("cluster")), buckets, "state")
     sums, counts = np.zeros_like(centroids), np.zeros(len(centroids), np.int64)
     for _ in range(rounds):

@@ -95,3 +95,22 @@ def test_a_round_has_no_shuffle_and_fetches_few_vectors(spark):
     for made in (vectors, cells, state, kept):
         C.dropped(spark, *made)
         assert not spark.catalog.tableExists(made[0])
+
+
+def test_a_bucket_is_one_file_with_more_tasks_than_buckets(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rnd.normal(size=(900, 5)).round(4))]
+    made, real = {}, C.bucketed
+
+    def counted(df, buckets, name):
+        out = real(df, buckets, name)
+        made.setdefault(name, []).append(len(spark.table(out[0]).inputFiles()))
+        return out
+
+    monkeypatch.setattr(C, "bucketed", counted)
+    for name in ("repartition", "repartitionById"):  # a session that deals out to 30 tasks at least
+        deal = getattr(type(spark.range(0)), name)
+        monkeypatch.setattr(type(spark.range(0)), name, lambda self, n, *by, deal=deal: deal(self, max(n, 30) if by else n, *by))
+    assert got(spark, rows, rounds=2, buckets=4) == plain(rows, 5, 8, 2)
+    assert made["vectors"] == made["cells"] == [4]
+    assert max(n for files in made.values() for n in files) <= 4
