@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,9 @@ __all__ = ["settled", "shared_dir"]
 #: ASCII white space, the separator of words: space, tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bits of the bitmap that stands for documents in ``bitmap_docs``.
+BITMAP_BITS = 1 << 27
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
@@ -66,3 +70,28 @@ def filter_docs(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     keys = found.select(F.col("doc_id").alias(f"key{n}"), F.col("text_hash").alias(f"hash{n}"))
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return docs.join(keys, F.col("doc_id").eqNullSafe(F.col(f"key{n}")) & (text_hash == F.col(f"hash{n}")), how)
+
+
+def bitmap_docs(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """As filter_docs, but by a bitmap of hashes (BITMAP_BITS) that is broadcast, so no row of docs is shuffled.
+
+    Of the rows that are not in found a few count as if they were.
+    """
+    taken, n = {c.lower() for c in docs.columns}, 0
+    while {f"bucket{n}", f"bits{n}"} & taken:
+        n += 1
+
+    def place(text_hash: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_hash), F.lit(BITMAP_BITS)) + 1
+
+    bits = found.select(place(F.col("text_hash")).alias("h")).groupBy(F.bitmap_bucket_number("h").alias(f"bucket{n}")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias(f"bits{n}"))
+    h = place(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    byte = F.conv(F.hex(F.substr(f"bits{n}", (F.bitmap_bit_position(h) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    same = (F.bitmap_bucket_number(h) == F.col(f"bucket{n}")) & (F.getbit(byte, (F.bitmap_bit_position(h) % 8).cast("int")) == 1)
+    return docs.join(F.broadcast(bits), same, how)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Collects what nothing refers to any more, in Python and in the driver's JVM; only then Spark deletes the files of a shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

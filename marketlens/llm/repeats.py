@@ -31,6 +31,13 @@ SKETCH_LOAD = 4
 SHARDS_BITS = 8
 #: Anchors that a task counts before it lets them go.
 SKETCH_FLUSH = 1 << 20
+#: Hashes of a shard of the filter, about, and the shards as bits, at least and at most.
+FILTER_SHARD = 1 << 22
+FILTER_SHARDS_BITS = (3, 12)
+#: Bits of the filter at most: 64 MB.
+FILTER_BITS = 29
+#: Bits of a hash beside those of its shard that are compared.
+FILTER_HASH_BITS = 32
 #: Heavy anchors are summed from the flushes that have them this often.
 TASK_COUNT = 64
 
@@ -195,6 +202,42 @@ def shard_bits(bits: int) -> int:
     return min(SHARDS_BITS, bits - 3)
 
 
+def _heavy(hashes: np.ndarray, heavy: int, parts: int, first: int) -> list[tuple[int, bytes, bytes]]:
+    """Rows of the hashes that may be heavy over all partitions, with their counts, in shards from ``first`` on."""
+    values, counts = np.unique(hashes, return_counts=True)
+    many = counts >= max(1, min(TASK_COUNT, heavy // 16))
+    values, counts = values[many], counts[many]
+    shards = (mixed(values) >> _U(64 - parts)).astype(np.int64)
+    return [(first + k, values[shards == k].tobytes(), counts[shards == k].astype(np.int64).tobytes()) for k in np.unique(shards).tolist()]
+
+
+def _summed(lists: list[tuple[np.ndarray, np.ndarray]], heavy: int) -> tuple[bytes, bytes]:
+    """The hashes of a shard that are heavy over all partitions, and their counts."""
+    values, at = np.unique(np.concatenate([v for v, _ in lists]), return_inverse=True)
+    sums = np.bincount(at, weights=np.concatenate([c for _, c in lists])).astype(np.int64)
+    return values[sums >= heavy].tobytes(), sums[sums >= heavy].tobytes()
+
+
+def _sorted_heavy(most: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    values, sums = np.concatenate([np.zeros(0, _U), *most]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(values)
+    return values[order], sums[order]
+
+
+def _flushes(batches: Iterator[pa.RecordBatch], tokens: str, hashes_of: Callable[[Slice], np.ndarray], fold: np.ndarray | None) -> Iterator[np.ndarray]:
+    """The hashes of all slices, SKETCH_FLUSH or some more at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, tokens, fold=fold):
+            held.append(hashes_of(part))
+            size += len(held[-1])
+            if size >= SKETCH_FLUSH:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
 def _counted(hashes: np.ndarray, bits: int, heavy: int, depth: int) -> Iterator[pa.RecordBatch]:
     """A partition sketch, sparse: by shard, the counters at 1 and those at 2 or more.
 
@@ -210,11 +253,7 @@ def _counted(hashes: np.ndarray, bits: int, heavy: int, depth: int) -> Iterator[
             if len(own):
                 rows.append((row << parts | shard, own[~often].tobytes(), own[often].tobytes()))
     if heavy:
-        values, counts = np.unique(hashes, return_counts=True)
-        many = counts >= max(1, min(TASK_COUNT, heavy // 16))
-        values, counts = values[many], counts[many]
-        shards = (mixed(values) >> _U(64 - parts)).astype(np.int64)
-        rows += [((depth << parts) + k, values[shards == k].tobytes(), counts[shards == k].astype(np.int64).tobytes()) for k in np.unique(shards).tolist()]
+        rows += _heavy(hashes, heavy, parts, depth << parts)
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "once", "often"])
 
 
@@ -243,16 +282,8 @@ def sketched(docs: DataFrame, tokens: str, hashes_of: Callable[[Slice], np.ndarr
     parts = shard_bits(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for part in slices(batch, tokens, fold=fold):
-                held.append(hashes_of(part))
-                size += len(held[-1])
-                if size >= SKETCH_FLUSH:
-                    yield from _counted(np.concatenate(held), bits, heavy, depth)
-                    held, size = [], 0
-        if size:
-            yield from _counted(np.concatenate(held), bits, heavy, depth)
+        for hashes in _flushes(batches, tokens, hashes_of, fold):
+            yield from _counted(hashes, bits, heavy, depth)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[int, np.ndarray] = {}
@@ -267,9 +298,8 @@ def sketched(docs: DataFrame, tokens: str, hashes_of: Callable[[Slice], np.ndarr
                 own[one] += own[one] < 2  # each value is in a partition's list once
                 own[two] = 2
         for shard, lists in often_seen.items():
-            values, at = np.unique(np.concatenate([v for v, _ in lists]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([c for _, c in lists])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([values[sums >= heavy].tobytes()], pa.binary()), pa.array([sums[sums >= heavy].tobytes()], pa.binary())], names=["shard", "bits", "counts"])
+            values, sums = _summed(lists, heavy)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([values], pa.binary()), pa.array([sums], pa.binary())], names=["shard", "bits", "counts"])
         for shard, own in counters.items():
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(own >= 2).tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=["shard", "bits", "counts"])
 
@@ -277,16 +307,14 @@ def sketched(docs: DataFrame, tokens: str, hashes_of: Callable[[Slice], np.ndarr
     sketches = docs.select("text").mapInArrow(count, "shard int, once binary, often binary").repartition(tasks, "shard")
     merged = sketches.mapInArrow(merge, "shard int, bits binary, counts binary").collect()  # a row a shard, 64 MB together at most
     out = np.zeros((depth << parts, 1 << (bits - parts - 3)), np.uint8)
-    most, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    most, counts = [], []
     for row in merged:
         if row["shard"] < depth << parts:
             out[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
         else:
             most.append(np.frombuffer(row["bits"], _U))
             counts.append(np.frombuffer(row["counts"], np.int64))
-    values = np.concatenate(most)
-    order = np.argsort(values)
-    return out.reshape(depth, -1), values[order], np.concatenate(counts)[order]
+    return out.reshape(depth, -1), *_sorted_heavy(most, counts)
 
 
 def is_repeated(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
@@ -298,6 +326,97 @@ def is_repeated(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray
     return out
 
 
+# --- repeats counted one by one ----------------------------------------------
+
+
+@dataclass
+class Filter:
+    """A Bloom filter in 2^parts shards by the first bits of a hash, of two bits a hash."""
+
+    bits: np.ndarray
+    parts: int
+
+    @property
+    def width(self) -> int:
+        """Bits of a shard, as a power of 2."""
+        return self.bits.shape[1].bit_length() + 2
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Which hashes are in the filter, all that were put in among them."""
+        shard, value = _cut(hashes, self.parts)
+        out = np.ones(len(hashes), bool)
+        for at in _places(value, self.width):
+            out &= (self.bits[shard, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _cut(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each hash and the FILTER_HASH_BITS that follow."""
+    return (hashes >> _U(64 - parts)).astype(np.int64), (hashes >> _U(64 - parts - FILTER_HASH_BITS)).astype(np.uint32)
+
+
+def _places(values: np.ndarray, width: int) -> list[np.ndarray]:
+    spread = mixed(values.astype(_U) + _U(1))
+    return [(x & _U((1 << width) - 1)).astype(np.int64) for x in (spread, spread >> _U(32))]
+
+
+def repeated_filter(docs: DataFrame, tokens: str, hashes_of: Callable[[Slice], np.ndarray], expected: float, heavy: int, fold: np.ndarray | None = None) -> tuple[Filter, np.ndarray, np.ndarray]:
+    """A filter that holds every hash that occurs more than once, and the heavy hashes with their counts as of ``sketched``.
+
+    The hashes themselves are shuffled, some four bytes each, and those that
+    occur once are left out by comparing 32 bits and more. So what passes by
+    mistake depends on how many are repeated and not on how many there are.
+    """
+    low, high = FILTER_SHARDS_BITS
+    parts = int(min(high, max(low, np.ceil(np.log2(max(1.0, expected / FILTER_SHARD))))))
+    width = min(FILTER_BITS, sketch_bits(expected) + 1) - parts
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes in _flushes(batches, tokens, hashes_of, fold):
+            hashes = np.sort(hashes)
+            shard, value = _cut(hashes, parts)
+            again = np.zeros(len(hashes), bool)
+            again[2:] = (shard[2:] == shard[:-2]) & (value[2:] == value[:-2])  # twice is enough
+            shard, value = shard[~again], value[~again]
+            bounds = np.searchsorted(shard, np.arange((1 << parts) + 1))
+            # byte by byte, as the first bytes of sorted values compress
+            rows = [(k, value[a:b].view(np.uint8).reshape(-1, 4).T.tobytes(), None) for k, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)) if a < b]
+            rows += _heavy(hashes, heavy, parts, 1 << parts) if heavy else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "hashes", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for shard, hashes, counts in zip(batch.column("shard").to_pylist(), batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if shard >> parts:
+                    held.setdefault(shard, []).append((np.frombuffer(hashes, _U), np.frombuffer(counts, np.int64)))
+                else:
+                    held.setdefault(shard, []).append(np.ascontiguousarray(np.frombuffer(hashes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel())
+        for shard in sorted(held):
+            lists, counts = held.pop(shard), None
+            if shard >> parts:
+                found, counts = _summed(lists, heavy)
+            else:
+                values = np.concatenate(lists)
+                values.sort()
+                own = np.zeros(1 << width, bool)
+                for at in _places(values[1:][values[1:] == values[:-1]], width):
+                    own[at] = True
+                found = np.packbits(own).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([found], pa.binary()), pa.array([counts], pa.binary())], names=["shard", "bits", "counts"])
+
+    rows = docs.select("text").mapInArrow(cut, "shard int, hashes binary, counts binary").repartitionById(1 << parts, F.pmod("shard", F.lit(1 << parts)))
+    merged = rows.mapInArrow(merge, "shard int, bits binary, counts binary").collect()  # a row a shard, 64 MB together at most
+    out, most, sums = np.zeros((1 << parts, 1 << (width - 3)), np.uint8), [], []
+    for row in merged:
+        if row["shard"] >> parts:
+            most.append(np.frombuffer(row["bits"], _U))
+            sums.append(np.frombuffer(row["counts"], np.int64))
+        else:
+            out[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
+    return Filter(out, parts), *_sorted_heavy(most, sums)
+
+
 # --- marks and their way back to the documents ------------------------------
 
 

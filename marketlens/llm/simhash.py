@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import doc_key, filter_docs, settled
+from marketlens.llm.common import bitmap_docs, doc_key, filter_docs, same_doc, settled
 from marketlens.operators.components import components, join_hot
 
 SHINGLE = 4
@@ -30,6 +30,8 @@ RADIUS = 4
 TREE_NODES = 20_000
 #: A shard holds about this many fingerprints; sets the number of blocks.
 SHARD_NODES = 64
+#: Rows up to which the documents that may go are broadcast.
+BROADCAST_DOCS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -185,10 +187,17 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_best(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that stay where found has doc_id, text_hash and root for each."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    best = found.groupBy("root").agg(F.min(order).alias("b")).select("b.doc_id", "b.text_hash")
-    kept = filter_docs(docs, best, "left_semi")
-    again = found.groupBy("doc_id", "text_hash").count().filter("count > 1").head(1)
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+    best = settled(found.groupBy("root").agg(F.min(order).alias("b")).select("b.doc_id", "b.text_hash"))
+    again = settled(found.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"))
+    other = settled(same_doc(found.select("doc_id", "text_hash"), best, "left_anti").unionByName(again).distinct())
+    few = other.count() <= BROADCAST_DOCS
+    # only rows that go, and that are there more than once, are looked at one by one: the texts of the others are not shuffled
+    kept = filter_docs(docs, F.broadcast(other), "left_anti") if few else bitmap_docs(docs, other, "left_anti")
+    repeated = bool(again.head(1))
+    if few and not repeated:
+        return kept
+    rest = filter_docs(filter_docs(docs, F.broadcast(other), "left_semi") if few else bitmap_docs(docs, other, "left_semi"), best, "left_semi")
+    return kept.unionAll(rest.dropDuplicates(["doc_id", "text"]) if repeated else rest)
 
 
 def hex_fingerprint(fp: str = "fp"):
